@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, simhash
+from . import caps, mixing, packing, pages, quality, simhash, urls, warc
+from .common import scratch_dir
 
 
 def _tokenizer() -> str:
@@ -25,20 +26,68 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hex_digits("v0").alias("fingerprint"), "component_id")
 
 
+def op2_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.main_text(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_table(spark, sf_dir, "documents"), _tokenizer())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+URL_RULES = urls.Rules((("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")))
+
+
+def op4_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = urls.train(urls.example_table(spark))
+    return urls.judge(_table(spark, sf_dir, "pages"), URL_RULES, model).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op5_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = caps.join(_table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark)
+    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(_table(spark, sf_dir, "documents"))
     return judged.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+#: Target weights of the sources in the test tables: src0 to src19, from one to four parts.
+TARGETS = {f"src{i}": 1.0 + i % 4 for i in range(20)}
+
+
+def op8_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), TARGETS, default=1.0)
+    return mixed.select("doc_id", "source", "mix_block", "mix_slot", "mix_place")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_wrapper_text": op2_wrapper_text,
     "op3_packing": op3_packing,
+    "op4_url_trees": op4_url_trees,
+    "op5_cap_filters": op5_cap_filters,
+    "op6_warc_revisits": op6_warc_revisits,
     "op7_host_rules": op7_host_rules,
+    "op8_pfair_mix": op8_pfair_mix,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_warc_revisits": """
+    WITH p AS (SELECT page_id, COALESCE(html, '') AS t FROM pages),
+    h AS (SELECT page_id, strlen(t) AS payload_bytes, sha1(t) AS payload_digest FROM p),
+    m AS (SELECT *, MAX(page_id) OVER (PARTITION BY payload_digest) AS top FROM h)
+    SELECT page_id, payload_bytes, payload_digest,
+      CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to
+    FROM m""",
+    "op8_pfair_mix": mixing.mix_sql("documents", TARGETS, "doc_id, source"),
+}
