@@ -131,6 +131,12 @@ def _segments(plan: Plan) -> list[Column]:
     ]
 
 
+def _cleared(segment: Column, bits: int) -> Column:
+    """The segment with each of its set bits cleared in turn."""
+    powers = F.array(*(F.lit(1 << i) for i in range(bits))).cast("array<bigint>")
+    return F.transform(F.filter(powers, lambda p: segment.bitwiseAND(p) != 0), lambda p: segment.bitwiseXOR(p))
+
+
 def _forest(plan: Plan):
     k = plan.checked.words
 
@@ -166,9 +172,7 @@ def links(reps: DataFrame, plan: Plan, crowded: int = 64, block: int = 2048) ->
     k = plan.checked.words
     segs = _segments(plan)
     table = reps.select("rep", F.col("v0").alias("c"), F.explode(F.array(*segs)).alias("key"))
-    own, ball = F.array(*segs), F.flatten(
-        F.array(*(F.filter(F.transform(F.sequence(F.lit(0), F.lit(plan.bits - 1)), lambda i, s=s: F.when(F.call_function("getbit", s, i) == 1, s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))), lambda x: x.isNotNull()) for s in segs))
-    )
+    own, ball = F.array(*segs), F.concat(*(_cleared(x, plan.bits) for x in segs))
     # of two segments that differ in one bit, that with the bit set finds the other
     probes = reps.select(
         F.col("rep").alias("rep2"), F.col("v0").alias("c2"),
