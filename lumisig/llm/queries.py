@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import caps, mixing, packing, pages, quality, simhash, urls, warc
+from lumisig.cluster import ship
+
+from . import caps, chat, mixing, packing, pages, quality, simhash, toxicity, urls, warc
 from .common import scratch_dir
 
 
@@ -18,7 +20,7 @@ def _tokenizer() -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +71,16 @@ def op8_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "mix_block", "mix_slot", "mix_place")
 
 
+def op9_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(_table(spark, sf_dir, "conversations"))
+
+
+def op10_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    return docs.select("doc_id", toxicity.severity(model, F.col("text")).alias("s")).select("doc_id", "s.severity", "s.toxic")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_wrapper_text": op2_wrapper_text,
@@ -78,6 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc_revisits": op6_warc_revisits,
     "op7_host_rules": op7_host_rules,
     "op8_pfair_mix": op8_pfair_mix,
+    "op9_quote_links": op9_quote_links,
+    "op10_ordinal_toxicity": op10_ordinal_toxicity,
 }
 
 ORACLES: dict[str, str] = {
