@@ -32,30 +32,44 @@ class WordEncoder:
     32-bit ids, as bytes.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {}, most
+        # of two generations of known words the older goes when the younger is full
+        self.tokenizer, self.known, self.older, self.most = Tokenizer.from_file(path), {b"": b""}, {}, most
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _encode_plain(self, texts: list[str], step: int = 4096) -> list[bytes]:
+        """Words of letters only, which are one piece each: many at once."""
+        out: list[bytes] = []
+        for i in range(0, len(texts), step):
+            part = texts[i : i + step]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, piece = np.asarray(e.ids, "<u4").tobytes(), np.asarray(e.word_ids, np.int64)
+            cut = [0, *(4 * (np.flatnonzero(np.diff(piece)) + 1)).tolist(), len(ids)]
+            out += [ids[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)] if len(cut) == len(part) + 1 else self._encode(part)
+        return out
+
     def _learn(self, words: set[bytes]) -> None:
-        known = self.known
-        if len(known) + len(words) > self.most:
-            known.clear()
-        cores = {}
+        known, older, cores = self.known, self.older, {}
         for w in words:
+            if w in older:
+                known[w] = older[w]
+                continue
             core = w.rstrip(_TAIL)
             # after a letter or digit, closing marks are a piece of their own
             if len(core) < len(w) and core and (core[-1:].isalnum() or (len(core) > 1 and core[-2] == 0xC3 and core[-1] not in (0x97, 0xB7))):
                 cores[w] = core, w[len(core) :]
             else:
                 cores[w] = w, b""
-        new = list({x for pair in cores.values() for x in pair if x and x not in known})
-        known.update(zip(new, self._encode([x.decode() for x in new]), strict=True))
-        known[b""] = b""
+        new = {x: x.decode() for pair in cores.values() for x in pair if x not in known}
+        plain = [x for x, t in new.items() if t.isalpha()]
+        other = [x for x, t in new.items() if not t.isalpha()]
+        known.update(zip(plain, self._encode_plain([new[x] for x in plain]), strict=True))
+        known.update(zip(other, self._encode([new[x] for x in other]), strict=True))
         known.update({w: known[a] + known[b] for w, (a, b) in cores.items()})
 
     def __call__(self, text: bytes) -> bytes:
@@ -65,8 +79,11 @@ class WordEncoder:
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
-            self._learn({w for w in words if w not in known} if len(known) < self.most else set(words))
-        return b"".join([self.known[w] for w in words])
+            if len(known) > self.most:
+                self.older, self.known = known, {b"": b""}
+                known = self.known
+        self._learn({w for w in words if w not in known})
+        return b"".join([known[w] for w in words])
 
 
 @functools.lru_cache(maxsize=2)
