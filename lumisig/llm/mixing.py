@@ -44,7 +44,7 @@ def schedule(slots: Mapping[str, int]) -> list[tuple[str, int, int, int, int]]:
     return out
 
 
-def mix(docs: DataFrame, weights: Mapping[str, float], block_docs: int = 8, period: int = 120, default: float | None = None, seed: int = 1, id_col: str = "doc_id", source_col: str = "source", rows_per_bucket: int = 50_000) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str, float], block_docs: int = 8, period: int = 120, default: float | None = None, seed: int = 1, id_col: str = "doc_id", source_col: str = "source", rows_per_bucket: int = 4096) -> DataFrame:
     """``docs`` with mix_block, mix_slot and mix_place: its block in its source, that block's slot, its place in the block.
 
     Order by (mix_slot, mix_place) to read the mixture. Every row is kept: while all
