@@ -32,6 +32,8 @@ def parse(text: str) -> list[tuple[int, str]]:
                 own.pop()
             if own and _NOTE.fullmatch(own[-1]):
                 own.pop()
+            if not own:
+                runs.pop()
         if runs and runs[-1][0] == level:
             runs[-1][1].append(line)
         else:
