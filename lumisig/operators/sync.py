@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 
 def bits_equal(a: Column, b: Column, kind: str) -> Column:
-    """Null-safe equality; of floats, bit by bit: zero and negative zero differ, as do different not-a-numbers' text forms."""
+    """Null-safe equality; of floats by their shortest text, so that zero and negative zero differ and not-a-number equals itself."""
     if kind in ("double", "float"):
-        sign = lambda c: F.concat(F.when(F.expr("1D") / F.when(c == 0, c) < 0, "-").otherwise(""), c.cast("string"))
-        text = lambda c: F.coalesce(sign(c), c.cast("string"))
-        return text(a).eqNullSafe(text(b))
+        return a.cast("string").eqNullSafe(b.cast("string"))
     return a.eqNullSafe(b)
 
 

@@ -1,0 +1,217 @@
+"""Change feed, synchronisation, corpora, comparison, metrics, engine, sources and streams."""
+
+import json
+import struct
+from datetime import timedelta
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lumisig.engine import Engine
+from lumisig.errors import HorizonBreach, InvalidInput, NotIndexed
+from lumisig.functions import codec
+from lumisig.operators import compare, corpus, feed, index, metrics, sync
+from lumisig.schema import Geometry
+from lumisig.sources import files, sqlite
+from lumisig.streaming import stateful
+from lumisig.streaming.follower import Follower
+
+G = Geometry(side=8, keep=4, ties="index")
+
+
+def channels(spark, ids, seed=1):
+    rows = []
+    for i in ids:
+        r = np.random.default_rng([seed, i])
+        rows.append((i, *(r.integers(0, 256, 64).tolist() for _ in range(3))))
+    return spark.createDataFrame(rows, "post_id long, r array<int>, g array<int>, b array<int>")
+
+
+def keys(spark, *ids):
+    return spark.createDataFrame([(i,) for i in ids], "post_id long")
+
+
+EVENTS = [(1, 1, 10, 1.0), (2, 1, 20, 2.0), (3, 1, 10, 3.0), (4, 2, 20, None), (5, 1, 30, 5.0)]
+
+
+def log(spark, rows=EVENTS, days=None):
+    d = spark.createDataFrame(rows, "seq long, op int, key long, value double")
+    return d.withColumn("at", F.timestamp_micros((F.col("seq") * 0 if days is None else F.when(F.col("seq") <= days, -8 * 86400).otherwise(0)).cast("long") * 1_000_000 + 1_700_000_000_000_000))
+
+
+def now():
+    return F.lit(1_700_000_000).cast("timestamp")
+
+
+def test_latest_state_and_replay(spark):
+    e = log(spark)
+    end = [(10, 3, 3.0), (30, 5, 5.0)]
+    assert sorted(map(tuple, feed.latest_state(e, "key", ["value"]).collect())) == end
+    for cut in range(6):
+        for back in (0, 2):  # overlap is harmless
+            s = feed.latest_state(e.where(F.col("seq") <= cut), "key", ["value"])
+            assert sorted(map(tuple, feed.replay(s, e.where(F.col("seq") > cut - back), "key", ["value"]).collect())) == end
+    assert index.stats(feed.slots(e, "key")).first().asDict() == {"live": 2, "tombstones": 2, "chunks": 1, "tombstone_ratio": 0.5}
+
+
+def test_cursor_lag_and_prune(spark):
+    e = log(spark, days=2)
+    assert feed.tail_cursor(e).first()[0] == 5 and feed.tail_cursor(e.where("false")).first()[0] == 0
+    assert [r.seq for r in feed.page(e, 2, 2).collect()] == [3, 4]
+    assert feed.lag(e, 0, now()).first()[0] == 8 * 86400 and feed.lag(e, 5, now()).first()[0] == 0
+    week = timedelta(days=7)
+    assert tuple(feed.prune_report(e, now(), week).first()) == (2, 2, 3)
+    assert feed.horizon(e.where("seq > 2"), now(), week, 2).first()[0] == 2
+    assert feed.after_prune(e, now(), week).count() == 3
+    with pytest.raises(HorizonBreach):
+        feed.check_horizon(1, 2)
+    feed.check_horizon(2, 2)
+
+
+def test_corrupt_events(spark):
+    for row in ((1, 3, 1, 1.0), (1, 1, 1, None)):
+        with pytest.raises(Exception, match="event 1"):
+            feed.decoded(log(spark, [row]), ["value"]).collect()
+    assert feed.decoded(log(spark), ["value"]).count() == 5
+
+
+def test_sync(spark):
+    t = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 0.0), (4, float("nan"))], "k long, v double")
+    s = spark.createDataFrame([(2, 2.5), (3, -0.0), (4, float("nan")), (5, None)], "k long, v double")
+    d = sync.classify(s, t, "k")
+    assert dict(d.select("k", "action").collect()) == {1: "removed", 2: "changed", 3: "changed", 4: "unchanged", 5: "new"}
+    assert tuple(sync.report(d).first()) == (3, 1, 1)
+    assert sync.classify(s, sync.apply(t, d, "k"), "k").where("action <> 'unchanged'").count() == 0
+    assert [(r.seq, r.op, r.k) for r in sync.events(d, "k", 7).orderBy("seq").collect()] == [(8, 2, 1), (9, 1, 2), (10, 1, 3), (11, 1, 5)]
+    assert tuple(sync.verify(t, s, "k", "v", 10, corpus.shuffled(F.col("k"), 1)).first()) == (4, 4, 4, 1, 2)
+
+
+def test_corpora(spark):
+    d = spark.range(1, 101).select(F.col("id").alias("k"), F.when(F.col("id") < 4, "near_black").otherwise("random").alias("kind"))
+    got = corpus.stratified(d, 30, 1, "k").groupBy("kind").count().collect()
+    assert {r["kind"]: r["count"] for r in got} == {"random": 15, "near_black": 3}
+    assert [r.k for r in corpus.systematic(d, 10, "k").orderBy("k").collect()] == list(range(1, 101, 10))
+    sub = corpus.subsample(d, 7, 3, "k", "n").orderBy("k").collect()
+    assert [r.n for r in sub] == list(range(1, 8))
+
+
+def test_comparison(spark):
+    def judge(oracle, subject):
+        o = spark.createDataFrame([(1, *x) for x in oracle], "query_id long, post_id long, score double")
+        s = spark.createDataFrame([(1, *x) for x in subject], "query_id long, post_id long, score double, black boolean")
+        r = compare.verdicts(o, s).first()
+        return r["ok"], round(r["max_delta"], 6), r["problems"]
+
+    assert judge([(1, 90.0), (2, 80.0)], [(1, 90.005, False), (2, 80.0, False)]) == (True, 0.005, 0)
+    assert judge([(1, 90.0)], [(1, 90.5, False)]) == (False, 0.5, 1)
+    assert judge([(1, 90.0), (2, 80.0)], [(9, 95.0, True), (1, 90.0, False)]) == (True, 0.0, 0)  # displaced by a black one
+    assert judge([(1, 90.0), (2, 80.0)], [(2, 80.0, False), (3, 70.0, False)])[2] == 1  # left out a better one
+    assert judge([(1, 90.0), (2, 80.0)], [(1, 90.0, False), (3, 80.0, False)]) == (True, 0.0, 0)  # a tie at the end
+    assert judge([(1, 90.0)], [(1, 90.0, False), (3, 95.0, False)])[2] == 1
+
+
+def test_metrics(spark):
+    d = spark.createDataFrame([("a", float(i)) for i in range(1, 101)], "l string, v double")
+    assert tuple(metrics.quantiles(d, "v", "l").first()) == ("a", 100, 50.0, 90.0, 99.0, 100.0)
+    assert metrics.exposition(metrics.counters(d, "l"), "x_total", "total").first()[0] == 'x_total{l="a"} 100'
+
+
+def test_engine_flow(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "db"), G)
+    assert e.upsert(channels(spark, range(20))) == 20
+    assert e.upsert(channels(spark, [3], seed=2)) == 21
+    hit = e.query_one(post_id=5, limit=3)
+    assert hit[0]["post_id"] == 5 and abs(hit[0]["score"] - 100) < 1e-4 and len(hit) == 3
+    h = e.get(keys(spark, 5, 99)).orderBy("post_id").collect()
+    assert h[0].hash == hit[0]["hash"] and h[1].hash is None
+    assert e.query_one(hash=h[0].hash, limit=3) == hit
+    c = channels(spark, [5]).first()
+    assert e.query_one(channels=(c.r, c.g, c.b), hash=h[0].hash, limit=3) == hit and e.query_one(channels=(c.r, c.g, c.b), limit=3) == hit
+    assert e.compact() == 21
+    assert e.query_one(post_id=5, limit=3) == hit
+    assert e.delete(keys(spark, 5, 99)) == 22 and e.delete(keys(spark, 5)) == 22
+    with pytest.raises(NotIndexed):
+        e.query_one(post_id=5)
+    for bad in (dict(), dict(post_id=3_000_000_000), dict(hash="x"), dict(channels=([1], [2], [3])), dict(post_id=1, limit=0)):
+        with pytest.raises(InvalidInput):
+            e.query_one(**bad)
+    s = e.status().first()
+    assert (s.live, s.cursor, s.snapshot_cursor, s.horizon) == (19, 22, 21, 0)
+    with pytest.raises(Exception, match="invalid post_id"):
+        e.upsert(channels(spark, [1]).withColumn("post_id", F.lit(-1)))
+    with pytest.raises(Exception, match="64 values"):
+        e.upsert(channels(spark, [1]).withColumn("r", F.slice("r", 1, 5)))
+
+
+def test_synchronize_and_full_load(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "db"), G)
+    first = e.signatures(channels(spark, range(10)))
+    e.full_load(first)
+    assert e.images().count() == 10 and e.store.events().count() == 0
+    target = e.signatures(channels(spark, range(2, 10))).unionByName(e.signatures(channels(spark, [40])))
+    assert e.synchronize(target) == {"upserted": 1, "deleted": 2, "unchanged": 8}
+    assert sorted(r.post_id for r in e.images().collect()) == [*range(2, 10), 40]
+
+
+def test_followers(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "db"), G)
+    e.upsert(channels(spark, range(12)), F.timestamp_seconds(F.lit(1_600_000_000)))
+    a, b = (Follower(spark, e.store, str(tmp_path / n)) for n in "ab")
+    assert a.drain() == 12
+    e.upsert(channels(spark, [100, 101]))
+    e.delete(keys(spark, *range(0, 12, 5)))
+    a.start(str(tmp_path / "check")).awaitTermination(120)
+    b.drain()
+    want = sorted(tuple(r) for r in e.images().collect())
+    assert sorted(tuple(r) for r in a.state().collect()) == want == sorted(tuple(r) for r in b.state().collect())
+    assert a.ready() and len(want) == 11
+    # a follower that is behind what was pruned loads anew, although newer events are there
+    late = Follower(spark, e.store, str(tmp_path / "late"))
+    late.load()
+    e.compact()
+    assert e.prune(timedelta(days=7)) == {"horizon": 12, "deleted": 12, "kept": 5}
+    assert e.prune(timedelta(days=7))["deleted"] == 0
+    with pytest.raises(HorizonBreach):
+        late.drain()
+    assert late.follow() == 17 and sorted(tuple(r) for r in late.state().collect()) == want
+
+
+def test_sqlite(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "db"), G)
+    d = e.signatures(channels(spark, range(30)))
+    path = str(tmp_path / "x.sqlite")
+    assert sqlite.write(d, path) == 30
+    sqlite.SqliteImages.register(spark)
+    back = spark.read.format("sqlite_images").option("rowsPerPartition", 7).option("blobLength", codec.blob_length(G)).load(path)
+    assert sync.classify(back, d, "post_id").where("action <> 'unchanged'").count() == 0
+    with pytest.raises(Exception, match="240 bytes"):
+        spark.read.format("sqlite_images").load(path).collect()
+
+
+def test_files(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "db"), G)
+    d = e.signatures(channels(spark, range(30)))
+    files.write_corpus(files.build_corpus(d, 12, 1, G), str(tmp_path / "c"))
+    with open(tmp_path / "c" / "extra.json", "w") as f:
+        f.write("\n" + json.dumps({"hash": "x", "kind": "synthetic_0"}) + "\n\n")
+    got = files.read_corpus(spark, str(tmp_path / "c")).collect()
+    assert sum(r.kind != "synthetic_0" for r in got) >= 6 and any(r.hash == "x" for r in got)
+    (tmp_path / "g.json").write_text(json.dumps([{"case": 1, "hash": "ab"}, {"case": 2, "hash": "cd"}]))
+    assert files.read_expected(spark, str(tmp_path / "g.json")).count() == 2
+    row = files.copy_row(7, 0.5, 1.0, -1.0, b"ab")
+    assert row == struct.pack(">hi i i d i d i d i", 5, 4, 7, 8, 0.5, 8, 1.0, 8, -1.0, 2) + b"ab"
+    assert bytes(files.copy_rows(d.limit(1)).first()[0])[:6] == struct.pack(">hi", 5, 4)
+    assert files.COPY_HEADER[:11] == b"PGCOPY\n\xff\r\n\0" and files.COPY_TRAILER == b"\xff\xff"
+
+
+def test_stateful_stream(spark, tmp_path):
+    src = str(tmp_path / "in")
+    e = spark.createDataFrame(EVENTS, "seq long, op int, key long, value double").select("key", "seq", "op", "value")
+    for i, part in enumerate((e.where("seq <= 2"), e.where("seq >= 2"))):
+        part.coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = stateful.latest_by_key(stream).writeStream.outputMode("update").format("memory").queryName("latest").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    last = spark.table("latest").groupBy("key").agg(F.max_by(F.struct("seq", "op"), "seq").alias("x")).collect()
+    assert {r["key"]: tuple(r["x"]) for r in last} == {10: (3, 1), 20: (4, 2), 30: (5, 1)}
