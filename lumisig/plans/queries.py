@@ -114,7 +114,7 @@ def _asked(d: DataFrame, where) -> DataFrame:
 
 
 #: The stated query set of batches: every image whose id 50 divides, against all images.
-BATCH = F.pmod("post_id", F.lit(50)) == 0
+BATCH = "post_id % 50 = 0"
 
 
 # ---- signature extraction -------------------------------------------------------------------

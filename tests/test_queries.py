@@ -54,3 +54,12 @@ def test_entry(spark):
     top = entry.entry(spark).orderBy("rank").first()
     assert top.post_id == 1 and abs(top.score - 100) < 1e-4
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_import_needs_no_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, check=True, timeout=120)
