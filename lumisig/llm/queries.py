@@ -94,7 +94,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ordinal_toxicity": op10_ordinal_toxicity,
 }
 
+_RATE = "CASE WHEN n >= 2 THEN {0} / n END"
+
+
+def _shrunk(rule: str) -> str:
+    """DuckDB SQL of a host's shrunk rate, from its sums and the prior's mean m and variance v."""
+    k = f"least(CASE WHEN v_{rule} > 0 AND m_{rule} * (1 - m_{rule}) / v_{rule} > 2 THEN m_{rule} * (1 - m_{rule}) / v_{rule} - 1 ELSE 1 END, 10000)"
+    return f"({rule} + m_{rule} * {k}) / (n + {k})"
+
+
+_HOST_RULES = f"""
+    WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+    windows AS (SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS s FROM w, range(1, 100000) r(i) WHERE i <= len(w) - 7),
+    twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+    covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, range(0, 8) r(j) GROUP BY doc_id),
+    c AS (SELECT w.doc_id, host, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+      len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, len(l) AS n_lines FROM w LEFT JOIN covered USING (doc_id)),
+    f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS f_base, 100 * n_symbols > 15 * word_chars AS f_symbols, 100 * n_dup_lines > 30 * n_lines AS f_lines FROM c),
+    hosts AS (SELECT host, count(*) AS n, sum(f_symbols::INT) AS symbols, sum(f_lines::INT) AS lines, sum((f_base OR f_symbols OR f_lines)::INT) AS anyrule FROM f GROUP BY host),
+    prior AS (SELECT {", ".join(f"sum({r}) / sum(n) AS m_{r}, coalesce(var_samp({_RATE.format(r)}), 0) AS v_{r}" for r in ("symbols", "lines", "anyrule"))} FROM hosts),
+    rates AS (SELECT host, {", ".join(f"{_shrunk(r)} AS r_{r}" for r in ("symbols", "lines", "anyrule"))} FROM hosts, prior)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f_base AS base_failed,
+      NOT f_base AND NOT (r_anyrule > 0.6 OR (f_symbols AND r_symbols >= 0.001) OR (f_lines AND r_lines >= 0.001)) AS kept
+    FROM f JOIN rates USING (host)"""
+
+_CAP_LINKS = """
+    WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    good AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x <> 0)) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+    reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+    low AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+    n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+    SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low.b, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(low.b, vec_id)) AS kept
+    FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN low ON low.a = vec_id"""
+
 ORACLES: dict[str, str] = {
+    "op5_cap_filters": _CAP_LINKS,
+    "op7_host_rules": _HOST_RULES,
     "op6_warc_revisits": """
     WITH p AS (SELECT page_id, COALESCE(html, '') AS t FROM pages),
     h AS (SELECT page_id, strlen(t) AS payload_bytes, sha1(t) AS payload_digest FROM p),
