@@ -44,7 +44,7 @@ def schedule(slots: Mapping[str, int]) -> list[tuple[str, int, int, int, int]]:
     return out
 
 
-def mix(docs: DataFrame, weights: Mapping[str, float], block_docs: int = 8, period: int = 120, default: float | None = None, seed: int = 1, id_col: str = "doc_id", source_col: str = "source", rows_per_bucket: int = 4096) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str, float], block_docs: int = 8, period: int = 120, default: float | None = None, seed: int = 1, id_col: str = "doc_id", source_col: str = "source", rows_per_bucket: int = 1024) -> DataFrame:
     """``docs`` with mix_block, mix_slot and mix_place: its block in its source, that block's slot, its place in the block.
 
     Order by (mix_slot, mix_place) to read the mixture. Every row is kept: while all
@@ -65,9 +65,11 @@ def mix(docs: DataFrame, weights: Mapping[str, float], block_docs: int = 8, peri
     if unknown and default is None:
         raise ValueError(f"no weight for {unknown[:5]}")
     slots = shares({s: weights.get(s, default) for s in {*weights, *sizes}}, period)
-    buckets = max(1, -(-sum(sizes.values()) // rows_per_bucket))
-    table = docs.sparkSession.createDataFrame([(s, b, t, slots[s]) for s, b, t, _, _ in schedule(slots)], "__s string, __b long, __t long, __n long")
-    d = d.withColumn("__k", F.floor(F.col("__h") * F.lit(buckets) / F.lit(1 << 32)).cast("int"))
+    spark = docs.sparkSession
+    table = spark.createDataFrame([(s, b, t) for s, b, t, _, _ in schedule(slots)], "__s string, __b long, __t long")
+    each = spark.createDataFrame([(s, n, max(1, -(-sizes.get(s, 0) // rows_per_bucket))) for s, n in slots.items()], "__s string, __n long, __m long")
+    d = d.join(F.broadcast(each), "__s")  # at most a row for each slot of the period
+    d = d.withColumn("__k", F.floor(F.col("__h") * F.col("__m") / F.lit(1 << 32)).cast("int"))
     # how many rows of the source stand in buckets before
     before = materialize(d.groupBy("__s", "__k").agg(F.count("*").alias("__c")))
     by_source = "SUM(__c) OVER (PARTITION BY __s ORDER BY __k) - __c"
@@ -75,8 +77,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float], block_docs: int = 8, peri
     rank = f"ROW_NUMBER() OVER (PARTITION BY __s, __k ORDER BY __h, {id_col})"
     d = d.withColumn("__r", F.expr(rank)).join(before, ["__s", "__k"]).withColumn("__r", F.col("__r") + F.col("__f") - 1)
     d = d.withColumn("mix_block", F.floor(F.col("__r") / block_docs)).withColumn("mix_place", F.pmod("__r", F.lit(block_docs)))
-    d = d.join(F.broadcast(table.select("__s", "__n").distinct()), "__s")  # at most a row for each slot of the period
-    d = d.withColumn("__b", F.pmod("mix_block", "__n")).join(F.broadcast(table.drop("__n")), ["__s", "__b"])
+    d = d.withColumn("__b", F.pmod("mix_block", "__n")).join(F.broadcast(table), ["__s", "__b"])
     d = d.withColumn("mix_slot", F.floor(F.col("mix_block") / F.col("__n")) * F.lit(period) + F.col("__t"))
     return d.select(*docs.columns, "mix_block", "mix_slot", "mix_place")
 
