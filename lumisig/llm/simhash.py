@@ -15,7 +15,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -140,11 +139,10 @@ def _cleared(segment: Column, bits: int) -> Column:
 def _forest(plan: Plan):
     k = plan.checked.words
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def run(group: pa.Table) -> pa.Table:
         """Links between table rows and probe rows that join two groups, of all within the distance."""
-        reps = group["rep"].to_numpy()
+        reps, probe = group["rep"].to_numpy(), group["probe"].to_numpy()
         code = np.stack([group[f"v{j}"].to_numpy().view(np.uint64) for j in range(k)], 1)
-        probe = group["probe"].to_numpy()
         t, p = np.flatnonzero(~probe), np.flatnonzero(probe)
         label = np.unique(reps, return_inverse=True)[1]
         src, dst = [], []
@@ -157,12 +155,12 @@ def _forest(plan: Plan):
                     label[label == lab] = label[i]
                     src.append(reps[i])
                     dst.append(reps[j])
-        return pd.DataFrame({"src": np.array(src, np.int64), "dst": np.array(dst, np.int64)})
+        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
     return run
 
 
-def links(reps: DataFrame, plan: Plan, crowded: int = 64, block: int = 2048) -> DataFrame:
+def links(reps: DataFrame, plan: Plan, crowded: int = 8, block: int = 2048) -> DataFrame:
     """(src, dst) that connect all different fingerprints within the plan's distance.
 
     ``reps``: (rep, w..., v...), one row per different fingerprint; v are the verified words.
@@ -205,7 +203,7 @@ def links(reps: DataFrame, plan: Plan, crowded: int = 64, block: int = 2048) ->
     left = t.join(np_, "key").select("key", "rep", F.lit(False).alias("probe"), dealt("nt").alias("tb"), span("np").alias("pb"))
     right = p.join(np_, "key").select("key", "rep", F.lit(True).alias("probe"), dealt("np").alias("pb"), span("nt").alias("tb"))
     both = left.unionByName(right).join(full, "rep")
-    return found.unionAll(both.groupBy("key", "tb", "pb").applyInPandas(_forest(plan), "src long, dst long"))
+    return found.unionAll(both.groupBy("key", "tb", "pb").applyInArrow(_forest(plan), "src long, dst long"))
 
 
 def classes(docs: DataFrame, plan: Plan = STRICT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
