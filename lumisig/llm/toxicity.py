@@ -7,6 +7,8 @@ prediction is the expected grade.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: A-Z to a-z; ASCII punctuation and control characters to spaces.
 _CLEAN = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 48 or 58 <= c <= 64 or 91 <= c <= 96 or 123 <= c <= 127 else c for c in range(256))
 
@@ -85,12 +89,31 @@ def _places(vocabulary: list[bytes]):
     return run
 
 
-def _words(text: Column) -> Column:
-    @F.arrow_udf("array<binary>")
-    def run(t: pa.Array) -> pa.Array:
-        return pa.array([sorted(words(x.as_py())) for x in t], pa.list_(pa.binary()))
+def _counts(rows: DataFrame, most: int = 200_000) -> DataFrame:
+    """(w, n, bad): in how many texts (y, t) a word is, and in how many toxic ones; combined by task as far as memory for ``most`` words goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter = Counter()
+        bad: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            keys = list(n)
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([n[k] for k in keys], pa.int64()), pa.array([bad[k] for k in keys], pa.int64())], names=["w", "n", "bad"])
+
+        for b in batches:
+            for y, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                found = words(t.as_py())
+                n.update(found)
+                if y > 0:
+                    bad.update(found)
+                if len(n) > most:
+                    yield out()
+                    n.clear()
+                    bad.clear()
+        yield out()
 
-    return run(text.cast("binary"))
+    each = rows.select("y", F.col("t").cast("binary")).mapInArrow(run, "w binary, n long, bad long")
+    return each.groupBy("w").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_words: int = 2048, least: int = 5, z: float = 4.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", grade_col: str | None = None) -> Ordinal:
@@ -99,15 +122,16 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_words:
     Words are chosen by the log-odds of a toxic text that has them: at least ``least`` texts, ``z``
     standard errors from even, the ``max_words`` farthest. Where the labels have no ``grade_col``
     (0 clean, then more and more severe), a toxic text's grade is made from how many features of
-    the strongly toxic kind it has: under four 1, under eight 2, more 3. Rows with a null label,
-    id or text stay out. Without both kinds of label the model says 0 for all.
+    the strongly toxic kind it has: under four 1, under eight 2, more 3. Rows with a null label
+    or id stay out; null text has no words. Without both kinds of label the model says 0 for all.
     """
     y = F.col(grade_col or label_col).cast("int")
     lab = labels.where(y.isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), y.alias("y")).dropDuplicates(["id"])
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).dropna().join(lab, "id")
-    chosen = text.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(max_rows)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).dropna().join(F.broadcast(chosen), "id").join(F.broadcast(lab.join(chosen, "id")), "id").dropDuplicates(["id"])
-    seen = rows.select("y", F.explode(_words(F.col("t"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"), F.sum((F.col("y") > 0).cast("long")).alias("bad")).where(F.col("n") >= least)
+    known = docs.select(F.col(id_col).cast("long").alias("id")).join(lab, "id", "left_semi").distinct()
+    chosen = lab.join(F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(max_rows)), "id")
+    # the sample is bounded, and read from the documents once
+    rows = materialize(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(chosen), "id").dropDuplicates(["id"]))
+    seen = _counts(rows).where(F.col("n") >= least)
     both = rows.agg(F.count("*"), F.sum((F.col("y") > 0).cast("long"))).first()
     n, bad = both[0], both[1] or 0
     if not bad or bad == n:
