@@ -59,11 +59,11 @@ class Plan:
 
 #: 64 bits over three words, two segments of 32 bits: of 3 differing bits one segment has at most one, so no pair is missed.
 STRICT = Plan(Code(3, 1), per_word=2, bits=32, max_distance=3, near=3)
-#: Jaccard similarity of about 0.8 or more over five-word shingles, estimated on 256 bits: at
-#: 0.8, 15 % of the bits differ (39); 45 keeps those that are estimated a little too far apart.
+#: Jaccard similarity of about 0.8 or more over five-word shingles, estimated on 512 bits: at
+#: 0.8, 15 % of the bits differ (78, give or take 8); 86 keeps most of those that are estimated a little too far apart.
 #: Candidates come from ten 25-bit segments of a three-word code, where such pairs differ in
 #: some 9 % of the bits: 98 % have a segment with one differing bit or none.
-SIMILAR = Plan(Code(3, 5), per_word=2, bits=25, max_distance=45, near=24, verify=Code(5, 4))
+SIMILAR = Plan(Code(3, 5), per_word=2, bits=25, max_distance=86, near=24, verify=Code(5, 8))
 
 
 def _ones(h: np.ndarray) -> np.ndarray:
