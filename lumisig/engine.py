@@ -67,7 +67,7 @@ class Engine:
 
     def full_load(self, signed: DataFrame) -> None:
         """Replace the whole state without events. Followers must load anew: the horizon is set over all cursors."""
-        self.store.replace(check_post_ids(signed).select("post_id", F.lit(0).cast("long").alias("seq"), *PAYLOAD))
+        self.store.replace(check_post_ids(signed).select("post_id", F.lit(0).cast("long").alias("seq"), *PAYLOAD), self.g)
 
     def synchronize(self, source: DataFrame) -> dict:
         """Bring the state to that of ``source`` (post_id, avglf1..3, sig) by events of the differences; returns their counts."""
@@ -95,11 +95,24 @@ class Engine:
         self.store.publish(state, cursor, self.g)
         return cursor
 
-    def live(self) -> DataFrame:
-        """Slots follow the posts' ids in the snapshot, and come after all of them for later events."""
+    def live(self) -> tuple[DataFrame, DataFrame]:
+        """Live images and census: the snapshot's stored ones, less what later events change and with what they add.
+
+        Slots follow the posts' ids in the snapshot, and come after all of them for later events.
+        """
         _, cursor = self.store.snapshot()
-        slot = F.when(F.col("seq") > cursor, F.col("seq") + F.lit(1 << 32)).otherwise(F.col("post_id").cast("long"))
-        return index.live(self.images().withColumn("slot", slot), self.g)
+        stored, tail = self.store.index(), self.store.events().where(F.col("seq") > cursor)
+        later = feed.latest_state(tail, "post_id", PAYLOAD).withColumn("slot", F.col("seq") + F.lit(1 << 32))
+        new = index.live(later, self.g)
+        if stored is None:
+            return new, index.census(new)
+        alive, counted = stored
+        if tail.isEmpty():
+            return alive, counted
+        changed = tail.select("post_id").distinct()
+        gone = alive.join(changed, "post_id", "left_semi")
+        sums = counted.unionByName(index.census(new)).unionByName(index.census(gone).withColumn("images", -F.col("images")))
+        return alive.join(changed, "post_id", "left_anti").unionByName(new), sums.groupBy("bucket").agg(F.sum("images").alias("images"))
 
     def get(self, keys: DataFrame) -> DataFrame:
         """(post_id, hash): null where there is no such image."""
@@ -110,7 +123,8 @@ class Engine:
     def query(self, queries: DataFrame, limit: int | None = None, min_score: float | None = None, kernel: str = "scan") -> DataFrame:
         """(query_id, rank, post_id, score, hash) of the images most similar to ``queries`` (query_id, avglf1..3, sig)."""
         limit = scoring.limit_of(limit)
-        found = scoring.similar(self.live(), queries, limit, min_score, kernel, g=self.g)
+        alive, counted = self.live()
+        found = scoring.similar(alive, queries, limit, min_score, kernel, counted, self.g)
         return found.join(self.get(found.select("post_id").distinct()), "post_id").select("query_id", "rank", "post_id", "score", "hash")
 
     def query_one(self, hash: str | None = None, channels: tuple | None = None, post_id: int | None = None, limit: int | None = None, min_score: float | None = None) -> list[dict]:

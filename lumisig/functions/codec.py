@@ -6,12 +6,21 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import FULL, Geometry
 
 
+def lists(x: np.ndarray) -> pa.Array:
+    """An array of two or three dimensions as lists (of lists), without a Python object a value."""
+    out = pa.array(np.ascontiguousarray(x).ravel())
+    for n in x.shape[:0:-1]:
+        out = pa.ListArray.from_arrays(pa.array(np.arange(0, len(out) + 1, n, dtype=np.int32)), out)
+    return out
+
+
 def blob_length(g: Geometry = FULL) -> int:
     return 6 * g.keep
 
@@ -73,7 +82,16 @@ def _udfs(g: Geometry) -> dict:
 
     @F.arrow_udf("array<array<short>>")
     def sig_from_blob(blob: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else _list(from_blob(x, g)) for x in blob.to_pylist()], pa.list_(pa.list_(pa.int16())))
+        rows = blob.drop_null()
+        if not len(rows):
+            return pa.nulls(len(blob), pa.list_(pa.list_(pa.int16())))
+        if (np.asarray(pc.binary_length(rows)) != blob_length(g)).any():
+            raise ValueError(next(e for x in rows if (e := blob_error(x.as_py(), g))))
+        c = np.frombuffer(b"".join(rows.to_pylist()), "<i2").astype(np.int16).reshape(-1, 3, g.keep)
+        if (np.abs(c.astype(np.int32)) >= g.pixels).any():
+            raise ValueError(next(e for x in rows if (e := blob_error(x.as_py(), g))))
+        place = np.cumsum(~np.asarray(blob.is_null())) - 1
+        return lists(c) if blob.null_count == 0 else lists(c).take(pa.array(place, mask=np.asarray(blob.is_null())))
 
     @F.arrow_udf("string")
     def sig_encode_hash(avglf: pa.Array, sig: pa.Array) -> pa.Array:

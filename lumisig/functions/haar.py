@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import FULL, GRAY_LIMIT, LEVEL, WEIGHTS, YIQ, Geometry
+from . import codec
+from .codec import lists
 
 
 def to_yiq(rgb: np.ndarray) -> np.ndarray:
@@ -105,6 +107,10 @@ def signatures(rgb: np.ndarray, g: Geometry = FULL) -> tuple[np.ndarray, np.ndar
     return a[:, :, 0].copy(), np.stack([np.stack([largest(c, g) for c in x]) for x in a]) if n else np.zeros((0, 3, g.keep), np.int16)
 
 
+def signed(means: np.ndarray, coefs: np.ndarray) -> pa.Array:
+    return pa.StructArray.from_arrays([lists(means), lists(coefs)], names=["avglf", "sig"])
+
+
 def _stack(planes: list[pa.Array], g: Geometry) -> np.ndarray:
     """Three columns of binaries (a byte a pixel) or arrays of numbers, as (n, 3, pixels)."""
     out = []
@@ -126,13 +132,11 @@ def haar_signature(r: Column, gr: Column, b: Column, g: Geometry = FULL) -> Colu
 
     @F.arrow_udf("avglf array<double>, sig array<array<short>>")
     def run(x: pa.Array, y: pa.Array, z: pa.Array) -> pa.Array:
-        rgb = _stack([x, y, z], g)
-        means, coefs = [], []
-        for at in range(0, len(rgb), 256):
-            m, c = signatures(rgb[at : at + 256], g)
-            means += m.tolist()
-            coefs += c.tolist()
-        return pa.StructArray.from_arrays([pa.array(means, pa.list_(pa.float64())), pa.array(coefs, pa.list_(pa.list_(pa.int16())))], names=["avglf", "sig"])
+        planes = [x, y, z]
+        parts = [signatures(_stack([p.slice(at, 16) for p in planes], g), g) for at in range(0, len(x), 16)]
+        if not parts:
+            return signed(np.zeros((0, 3)), np.zeros((0, 3, g.keep), np.int16))
+        return signed(np.concatenate([m for m, _ in parts]), np.concatenate([c for _, c in parts]))
 
     return run(r, gr, b)
 
@@ -145,7 +149,7 @@ def haar_plane(values: Column, g: Geometry) -> Column:
         a = _stack([x], g)[:, 0]
         a = haar_2d(a.reshape(-1, g.side, g.side)).reshape(-1, g.pixels)
         a[:, 0] /= g.dc_divisor
-        return pa.array(a.tolist(), pa.list_(pa.float64()))
+        return lists(a)
 
     return run(values)
 
@@ -189,12 +193,9 @@ def stratum(a1: Column, a2: Column, a3: Column) -> Column:
 
 def register(spark) -> None:
     """Make the functions callable from SQL under their names."""
-    from . import codec
-
     @F.arrow_udf("avglf array<double>, sig array<array<short>>")
     def haar_signature(x: pa.Array, y: pa.Array, z: pa.Array) -> pa.Array:
-        m, c = signatures(_stack([x, y, z], FULL), FULL)
-        return pa.StructArray.from_arrays([pa.array(m.tolist(), pa.list_(pa.float64())), pa.array(c.tolist(), pa.list_(pa.list_(pa.int16())))], names=["avglf", "sig"])
+        return signed(*signatures(_stack([x, y, z], FULL), FULL))
 
     spark.udf.register("haar_signature", haar_signature)
     codec.register(spark)

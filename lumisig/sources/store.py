@@ -64,6 +64,11 @@ class Store:
         rows = self.spark.read.schema(STATE).parquet(f"{h['snapshot']}/images") if h["snapshot"] else self.spark.createDataFrame([], STATE)
         return rows, h["snapshot_cursor"]
 
+    def index(self) -> tuple[DataFrame, DataFrame] | None:
+        """The newest snapshot's live images and census; None before there is one."""
+        path = self.head()["snapshot"]
+        return (self.spark.read.parquet(f"{path}/live"), self.spark.read.parquet(f"{path}/census")) if path else None
+
     def append(self, events: DataFrame, at: Column | None = None) -> int:
         """Number ``events`` (op, post_id, payload) after the cursor, without gaps, and commit them; returns the new cursor."""
         h = self.head()
@@ -90,11 +95,12 @@ class Store:
         index.write(self.spark.read.schema(STATE).parquet(f"{path}/images"), path, g)
         self._commit(h, snapshot=path, snapshot_cursor=cursor)
 
-    def replace(self, state: DataFrame) -> None:
+    def replace(self, state: DataFrame, g: Geometry = FULL) -> None:
         """A new state without events: the log so far ends, and cursors before it are below the horizon."""
         h = self.head()
         path = f"{self.path}/state/{h['version'] + 1}"
         state.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in STATE.split(", ")]).write.mode("overwrite").parquet(f"{path}/images")
+        index.write(self.spark.read.schema(STATE).parquet(f"{path}/images"), path, g)
         cursor = h["cursor"] + 1
         self._commit(h, snapshot=path, snapshot_cursor=cursor, cursor=cursor, horizon=cursor, log=[])
 

@@ -133,11 +133,21 @@ def test_engine_flow(spark, tmp_path):
     assert e.delete(keys(spark, 5, 99)) == 22 and e.delete(keys(spark, 5)) == 22
     with pytest.raises(NotIndexed):
         e.query_one(post_id=5)
+    e.upsert(channels(spark, [7, 50], seed=3))
+    alive, counted = e.live()
+    assert index.broken(alive, counted.where("images > 0")).count() == 0 and alive.count() == 20
+    before = e.query_one(post_id=7, limit=20)
+    e.delete(keys(spark, 50))
+    e.compact()
+    alive, counted = e.live()
+    assert index.broken(alive, counted).count() == 0 and alive.count() == 19
+    after = e.query_one(post_id=7, limit=20)
+    assert before[0]["post_id"] == after[0]["post_id"] == 7 and len(after) == 19
     for bad in (dict(), dict(post_id=3_000_000_000), dict(hash="x"), dict(channels=([1], [2], [3])), dict(post_id=1, limit=0)):
         with pytest.raises(InvalidInput):
             e.query_one(**bad)
     s = e.status().first()
-    assert (s.live, s.cursor, s.snapshot_cursor, s.horizon) == (19, 22, 21, 0)
+    assert (s.live, s.cursor, s.snapshot_cursor, s.horizon) == (19, 25, 25, 0)
     with pytest.raises(Exception, match="invalid post_id"):
         e.upsert(channels(spark, [1]).withColumn("post_id", F.lit(-1)))
     with pytest.raises(Exception, match="64 values"):
