@@ -22,23 +22,25 @@ SYMBOLS = r"[#*$%&|<>]"
 class Limits:
     """Rules: a document's own limits, and what is done on hosts that often break them.
 
-    A document that breaks the symbol or line rule goes unless its host's shrunk rate for
-    that rule is under ``forgiven``; a host whose shrunk rate of documents that break any
+    A document that breaks the symbol, line or stutter rule goes unless its host's shrunk rate
+    for that rule is under ``forgiven``; a host whose shrunk rate of documents that break any
     rule is over ``rotten`` goes as a whole.
     """
 
     min_words: int = 20
     repeat_percent: int = 30
-    symbol_percent: int = 15
+    symbol_percent: int = 6
     dup_line_percent: int = 30
+    dup_lines: int = 3
+    stutter_percent: int = 30
     forgiven: float = 0.001
     rotten: float = 0.6
 
 
 def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *carry: str) -> DataFrame:
-    """(id, carry..., n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines).
+    """(id, carry..., n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_stutter).
 
-    Null text counts as empty (all zero). Windows are told apart by a 64-bit hash of their
+    n_stutter: words equal to the one before. Null text counts as empty (all zero). Windows are told apart by a 64-bit hash of their
     words. Everything of a document is found within its row: no shuffle; work is linear in
     its length, but for a sort in documents that have a repeated window.
     """
@@ -68,6 +70,7 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *car
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("l").cast("long").alias("n_lines"),
+        F.size(F.filter("w", lambda x, i: (i > 0) & (x == F.get("w", i - 1)))).cast("long").alias("n_stutter"),
     )
 
 
@@ -76,18 +79,24 @@ def rules(limits: Limits) -> dict[str, Column]:
     return {
         "base": (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.repeat_percent * F.col("n_words")),
         "symbols": 100 * F.col("n_symbols") > limits.symbol_percent * F.col("word_chars"),
-        "lines": 100 * F.col("n_dup_lines") > limits.dup_line_percent * F.col("n_lines"),
+        "lines": (F.col("n_dup_lines") >= limits.dup_lines) & (100 * F.col("n_dup_lines") > limits.dup_line_percent * F.col("n_lines")),
+        "stutter": 100 * F.col("n_stutter") > limits.stutter_percent * F.col("n_words"),
     }
 
 
+#: Rules that a host's record can forgive.
+SOFT = ("symbols", "lines", "stutter")
+
+
+
 def host_rates(judged: DataFrame) -> DataFrame:
-    """(host, n, and for base, symbols, lines, any: the shrunk rate), one row per host.
+    """(host, n, and for base, each soft rule and any: the shrunk rate), one row per host.
 
     The prior of each rule is a beta distribution with the mean and variance of the hosts'
     rates (method of moments over hosts of at least two documents). Where there is no variance
     to fit, its strength is one document.
     """
-    names = ["base", "symbols", "lines", "any"]
+    names = ["base", *SOFT, "any"]
     host = judged.groupBy("host").agg(F.count("*").alias("n"), *(F.sum(F.col(f"f_{r}").cast("long")).alias(r) for r in names))
     rate = lambda r: F.when(F.col("n") >= 2, F.col(r) / F.col("n"))
     prior = host.agg(*(x for r in names for x in (F.coalesce(F.sum(r) / F.sum("n"), F.lit(0.0)).alias(f"m_{r}"), F.coalesce(F.var_samp(rate(r)), F.lit(0.0)).alias(f"v_{r}"))))
@@ -109,8 +118,10 @@ def judge(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", te
     d = counts(docs.withColumn("__host", F.coalesce(F.col(host_col).cast("string"), F.lit("")) if host_col in docs.columns else F.lit("")), id_col, text_col, "__host", *carry)
     broken = rules(limits)
     d = d.select("*", *(F.coalesce(c, F.lit(False)).alias(f"f_{r}") for r, c in broken.items())).withColumnRenamed("__host", "host")
-    d = materialize(d.withColumn("f_any", F.col("f_base") | F.col("f_symbols") | F.col("f_lines")))
-    rates = host_rates(d).select("host", F.col("symbols").alias("r_symbols"), F.col("lines").alias("r_lines"), F.col("any").alias("host_rate"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    d = materialize(d.withColumn("f_any", F.greatest("f_base", *(f"f_{r}" for r in SOFT))))
+    rates = host_rates(d).select("host", F.col("any").alias("host_rate"), *(F.col(r).alias(f"r_{r}") for r in SOFT), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     d = d.withColumn("salt", F.pmod(F.xxhash64("id", "n_words", "word_chars"), F.lit(salts)).cast("int")).join(rates, ["host", "salt"])
-    bad = (F.col("host_rate") > limits.rotten) | (F.col("f_symbols") & (F.col("r_symbols") >= limits.forgiven)) | (F.col("f_lines") & (F.col("r_lines") >= limits.forgiven))
-    return d.select("id", *carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", F.col("f_base").alias("base_failed"), "host_rate", (~F.col("f_base") & ~bad).alias("kept"))
+    bad = F.col("host_rate") > limits.rotten
+    for r in SOFT:
+        bad = bad | (F.col(f"f_{r}") & (F.col(f"r_{r}") >= limits.forgiven))
+    return d.select("id", *carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stutter", F.col("f_base").alias("base_failed"), "host_rate", (~F.col("f_base") & ~bad).alias("kept"))

@@ -110,13 +110,16 @@ _HOST_RULES = f"""
     twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
     covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, range(0, 8) r(j) GROUP BY doc_id),
     c AS (SELECT w.doc_id, host, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
-      len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, len(l) AS n_lines FROM w LEFT JOIN covered USING (doc_id)),
-    f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS f_base, 100 * n_symbols > 15 * word_chars AS f_symbols, 100 * n_dup_lines > 30 * n_lines AS f_lines FROM c),
-    hosts AS (SELECT host, count(*) AS n, sum(f_symbols::INT) AS symbols, sum(f_lines::INT) AS lines, sum((f_base OR f_symbols OR f_lines)::INT) AS anyrule FROM f GROUP BY host),
-    prior AS (SELECT {", ".join(f"sum({r}) / sum(n) AS m_{r}, coalesce(var_samp({_RATE.format(r)}), 0) AS v_{r}" for r in ("symbols", "lines", "anyrule"))} FROM hosts),
-    rates AS (SELECT host, {", ".join(f"{_shrunk(r)} AS r_{r}" for r in ("symbols", "lines", "anyrule"))} FROM hosts, prior)
+      len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, len(l) AS n_lines,
+      len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_stutter FROM w LEFT JOIN covered USING (doc_id)),
+    f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS f_base, 100 * n_symbols > 6 * word_chars AS f_symbols,
+      n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines AS f_lines, 100 * n_stutter > 30 * n_words AS f_stutter FROM c),
+    hosts AS (SELECT host, count(*) AS n, sum(f_symbols::INT) AS symbols, sum(f_lines::INT) AS lines, sum(f_stutter::INT) AS stutter,
+      sum((f_base OR f_symbols OR f_lines OR f_stutter)::INT) AS anyrule FROM f GROUP BY host),
+    prior AS (SELECT {", ".join(f"sum({r}) / sum(n) AS m_{r}, coalesce(var_samp({_RATE.format(r)}), 0) AS v_{r}" for r in ("symbols", "lines", "stutter", "anyrule"))} FROM hosts),
+    rates AS (SELECT host, {", ".join(f"{_shrunk(r)} AS r_{r}" for r in ("symbols", "lines", "stutter", "anyrule"))} FROM hosts, prior)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f_base AS base_failed,
-      NOT f_base AND NOT (r_anyrule > 0.6 OR (f_symbols AND r_symbols >= 0.001) OR (f_lines AND r_lines >= 0.001)) AS kept
+      NOT f_base AND NOT (r_anyrule > 0.6 OR (f_symbols AND r_symbols >= 0.001) OR (f_lines AND r_lines >= 0.001) OR (f_stutter AND r_stutter >= 0.001)) AS kept
     FROM f JOIN rates USING (host)"""
 
 _CAP_LINKS = """

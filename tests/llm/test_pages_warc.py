@@ -56,6 +56,8 @@ def test_cut_pages():
         pages.extract(page(1)[:cut], None, {})
     assert pages.extract("<article><p>a</p><p>b &am", None, {}) == "a\n\nb &am"
     assert pages.extract("<article><p>a<script>x</article>", None, {}) == "a"
+    assert pages.extract("<article><p>a<button>x</button></article><article class='comment'><p>c</article>", None, {}) == "a"
+    assert pages.extract("<title>t<p>a", None, {}) == "t\n\na"
     assert pages.extract("<p>1 < 2 &lt; 3</p>", None, {}) == "1 < 2 < 3"
 
 

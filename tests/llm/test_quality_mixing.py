@@ -40,13 +40,13 @@ def test_judgement(spark):
     good = " ".join("word%d" % i for i in range(40))
     rows = [(i, good + f" {i}", "good.example", 1) for i in range(200)]
     rows += [(1000 + i, "short", "rotten.example", 1) for i in range(90)] + [(2000 + i, good + f" {i}", "rotten.example", 1) for i in range(10)]
-    rows += [(3000, " ".join(f"w{i}%%%" for i in range(40)), "good.example", 1), (3001, "\n".join([good] * 2 + ["b"]), None, 1), (3002, None, None, 1)]
+    rows += [(3000, " ".join(f"w{i}%%%" for i in range(40)), "good.example", 1), (3001, "a a a a " * 10 + good, None, 1), (3003, good + "\nx\nx", "good.example", 1), (3002, None, None, 1)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string, n_words long")
     got = {r.id: r for r in quality.judge(d).collect()}
     assert len(got) == len(rows)
     assert all(got[i].kept for i in range(200)) and not any(got[1000 + i].kept for i in range(90))
     assert not any(got[2000 + i].kept for i in range(10)) and not got[2000].base_failed  # the host goes as a whole
-    assert not got[3000].kept and not got[3000].base_failed and got[3002].base_failed
+    assert got[3003].kept and not got[3001].kept and not got[3000].kept and not got[3000].base_failed and got[3002].base_failed
     assert quality.judge(d.where("false")).count() == 0
     assert quality.judge(d.drop("source")).where("kept").count() >= 200
     again = quality.judge(d.unionAll(d.where("doc_id = 3002")))
