@@ -116,7 +116,7 @@ def _counts(rows: DataFrame, most: int = 200_000) -> DataFrame:
     return each.groupBy("w").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_words: int = 2048, least: int = 5, z: float = 4.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", grade_col: str | None = None) -> Ordinal:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_words: int = 2048, least: int = 3, z: float = 3.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", grade_col: str | None = None) -> Ordinal:
     """Fit to a bounded sample of labelled rows: the ``max_rows`` with the smallest hashes of their ids.
 
     Words are chosen by the log-odds of a toxic text that has them: at least ``least`` texts, ``z``
