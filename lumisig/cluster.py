@@ -1,12 +1,17 @@
-"""Make this package importable in the Python workers of a cluster."""
+"""What a cluster needs: the package's code on executors, and tables in the folder that all machines share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Used only where the cluster names no shared folder, as in local tests.
+FALLBACK_SCRATCH = "/tmp/checkpoints"
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -25,3 +30,32 @@ def ship(spark: SparkSession) -> SparkSession:
     sc.addPyFile(str(target))
     sc._lumisig_shipped = True
     return spark
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new name in the shared folder that ``spark.checkpoint.dir`` names, or in the fallback where that is unset."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or FALLBACK_SCRATCH
+    return f"{base.rstrip('/')}/lumisig-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it again.
+
+    Parquet rather than ``checkpoint()``: it is written once, pruned by column,
+    its size is known to the planner, and a lost executor loses nothing.
+    """
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(rows: DataFrame, key: str, name: str, after: int = 0) -> DataFrame:
+    """``rows`` numbered after ``after`` in the order of the key, without gaps: by range partitions and their offsets, not in one task.
+
+    Partitions are written before they are counted, as they may be cut otherwise when they are made again.
+    """
+    d = rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
+    d = materialize(d)
+    first = d.groupBy("__p").agg(F.min("__i").alias("__f"), F.count("*").alias("__n"))
+    first = first.select("__p", "__f", F.expr("SUM(__n) OVER (ORDER BY __p) - __n").alias("__o"))  # a row a partition
+    return d.join(F.broadcast(first), "__p").withColumn(name, F.col("__i") - F.col("__f") + F.col("__o") + 1 + after).drop("__p", "__i", "__f", "__o")

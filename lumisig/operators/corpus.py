@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import numbered
+
 BUDGETS = {"random": 2, "grayscale": 6, "near_threshold": 6, "near_black": 6}  # shares of n: n / 2, n / 6, ...
 
 
@@ -22,14 +24,6 @@ def stratified(rows: DataFrame, n: int, seed: int, key: str, kind: str = "kind")
     return rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= budget).drop("__n")
 
 
-def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """``rows`` numbered from 1 in the order of the key, by range partitions and their offsets."""
-    d = rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
-    first = d.groupBy("__p").agg(F.min("__i").alias("__f"), F.count("*").alias("__n"))
-    first = first.select("__p", "__f", F.expr("SUM(__n) OVER (ORDER BY __p) - __n").alias("__o"))
-    return d.join(F.broadcast(first), "__p").withColumn(name, F.col("__i") - F.col("__f") + F.col("__o") + 1).drop("__p", "__i", "__f", "__o")
-
-
 def systematic(rows: DataFrame, n: int, key: str) -> DataFrame:
     """Every k-th row in the order of the key, ``n`` at most."""
     step = max(rows.count() // n, 1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..cluster import numbered
+
 
 def bits_equal(a: Column, b: Column, kind: str) -> Column:
     """Null-safe equality; of floats by their shortest text, so that zero and negative zero differ and not-a-number equals itself."""
@@ -39,16 +41,9 @@ def apply(target: DataFrame, classified: DataFrame, key: str) -> DataFrame:
 
 
 def events(classified: DataFrame, key: str, after: int = 0) -> DataFrame:
-    """(seq, op, key, columns) of the differences: dense numbers after ``after``, in the order of the keys.
-
-    Numbers are given by range partition and offset, not in one task.
-    """
+    """(seq, op, key, columns) of the differences: dense numbers after ``after``, in the order of the keys."""
     d = classified.where("action <> 'unchanged'").withColumn("op", F.when(F.col("action") == "removed", 2).otherwise(1)).drop("action")
-    d = d.repartitionByRange(key).sortWithinPartitions(key).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
-    first = d.groupBy("__p").agg(F.min("__i").alias("__f"), F.count("*").alias("__n"))
-    first = first.select("__p", "__f", F.expr("SUM(__n) OVER (ORDER BY __p) - __n").alias("__o"))  # a row a partition
-    d = d.join(F.broadcast(first), "__p")
-    return d.select((F.col("__i") - F.col("__f") + F.col("__o") + 1 + after).alias("seq"), "op", key, *[c for c in classified.columns if c not in (key, "action")])
+    return numbered(d, key, "seq", after).select("seq", "op", key, *[c for c in classified.columns if c not in (key, "action")])
 
 
 def verify(source: DataFrame, target: DataFrame, key: str, value: str, sample: int, order: Column) -> DataFrame:

@@ -15,6 +15,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import numbered
 from ..operators import feed, index
 from ..schema import EVENTS, FULL, Geometry
 
@@ -73,12 +74,7 @@ class Store:
         """Number ``events`` (op, post_id, payload) after the cursor, without gaps, and commit them; returns the new cursor."""
         h = self.head()
         part = f"{self.path}/log/{h['version'] + 1}"
-        d = events.repartitionByRange("post_id").sortWithinPartitions("post_id").withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
-        d.write.mode("overwrite").parquet(f"{part}-raw")
-        d = self.spark.read.parquet(f"{part}-raw")
-        first = d.groupBy("__p").agg(F.min("__i").alias("__f"), F.count("*").alias("__n"))
-        first = first.select("__p", "__f", F.expr("SUM(__n) OVER (ORDER BY __p) - __n").alias("__o"))
-        d = d.join(F.broadcast(first), "__p").withColumn("seq", F.col("__i") - F.col("__f") + F.col("__o") + 1 + h["cursor"])
+        d = numbered(events, "post_id", "seq", h["cursor"])
         when = at if at is not None else F.current_timestamp()
         kept = d.withColumn("at", when).select(*(F.col(f.name).cast(f.dataType) for f in EVENTS))
         kept.write.mode("overwrite").parquet(part)
