@@ -2,36 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Used only where the cluster names no shared folder, as in local tests.
-FALLBACK_SCRATCH = "/tmp/checkpoints"
+from lumisig.cluster import materialize, scratch_dir
+
+__all__ = ["SPACE", "WORD", "fits", "materialize", "scratch_dir", "sized_broadcast"]
 
 #: ASCII white space: what separates words everywhere in this subpackage.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``, or the fallback where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or FALLBACK_SCRATCH
-    return f"{base.rstrip('/')}/lumisig-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it again.
-
-    Parquet rather than ``checkpoint()``: it is written once, pruned by column,
-    its size is known to the planner, and a lost executor loses nothing.
-    """
-    path = scratch_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fits(df: DataFrame, limit_rows: int) -> bool:
     """Whether ``df`` has at most ``limit_rows`` rows; reads no more than needed to tell."""
     return df.limit(limit_rows + 1).count() <= limit_rows

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
+MOST_SOURCES = 10_000
+
 
 def shares(weights: Mapping[str, float], period: int) -> dict[str, int]:
     """Slots of each source in a period: in proportion to the weights by largest remainders, one at least."""
@@ -52,19 +54,22 @@ def mix(docs: DataFrame, weights: Mapping[str, float], block_docs: int = 8, peri
     which leaves the others' slots in proportion. Within a source documents are shuffled by a
     hash of their id. A source without a weight gets ``default``; without a default that is an
     error. Null sources are one source. Rows with null ids come first in their source; repeated
-    rows follow each other. Rows are numbered in buckets of the hash, so that a
+    rows follow each other. Columns of the names that are added are replaced. The period grows to
+    twice the number of sources, of which 10,000 are allowed. Rows are numbered in buckets of the hash, so that a
     hot source is dealt over tasks.
     """
     name = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     h = F.pmod(F.pmod(F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.lit(1 << 31)) * F.lit(2654435761) + F.lit(seed), F.lit(1 << 32))
     d = docs.withColumn("__s", name).withColumn("__h", h)
-    sizes = {r["__s"]: r["n"] for r in d.groupBy("__s").agg(F.count("*").alias("n")).limit(period + 1).collect()}
-    if len(sizes) > period:
-        raise ValueError("more sources than slots in a period")
+    sizes = {r["__s"]: r["n"] for r in d.groupBy("__s").agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()}
+    if len(sizes) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     unknown = sorted(s for s in sizes if s not in weights)
     if unknown and default is None:
         raise ValueError(f"no weight for {unknown[:5]}")
-    slots = shares({s: weights.get(s, default) for s in {*weights, *sizes}}, period)
+    every = {s: weights.get(s, default) for s in sorted({*weights, *sizes})}
+    period = period if len(every) <= period else 2 * len(every)
+    slots = shares(every, period)
     spark = docs.sparkSession
     table = spark.createDataFrame([(s, b, t) for s, b, t, _, _ in schedule(slots)], "__s string, __b long, __t long")
     each = spark.createDataFrame([(s, n, max(1, -(-sizes.get(s, 0) // rows_per_bucket))) for s, n in slots.items()], "__s string, __n long, __m long")
@@ -79,7 +84,8 @@ def mix(docs: DataFrame, weights: Mapping[str, float], block_docs: int = 8, peri
     d = d.withColumn("mix_block", F.floor(F.col("__r") / block_docs)).withColumn("mix_place", F.pmod("__r", F.lit(block_docs)))
     d = d.withColumn("__b", F.pmod("mix_block", "__n")).join(F.broadcast(table), ["__s", "__b"])
     d = d.withColumn("mix_slot", F.floor(F.col("mix_block") / F.col("__n")) * F.lit(period) + F.col("__t"))
-    return d.select(*docs.columns, "mix_block", "mix_slot", "mix_place")
+    added = ["mix_block", "mix_slot", "mix_place"]
+    return d.select(*(c for c in docs.columns if c not in added), *added)
 
 
 def mix_sql(table: str, weights: Mapping[str, float], columns: str, block_docs: int = 8, period: int = 120, seed: int = 1) -> str:

@@ -99,6 +99,9 @@ def test_mix_edges(spark):
     d = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (2, None)], "doc_id long, source string")
     assert mixing.mix(d, {"a": 1.0}, default=1.0).count() == 4
     assert mixing.mix(d.where("false"), {"a": 1.0}).count() == 0
+    many = spark.range(300).selectExpr("id AS doc_id", "concat('s', id % 150) AS source", "1 AS mix_slot")
+    got = mixing.mix(many, {}, default=1.0)
+    assert got.columns == ["doc_id", "source", "mix_block", "mix_slot", "mix_place"] and got.select("mix_slot", "mix_place").distinct().count() == 300
     with pytest.raises(ValueError, match="no weight"):
         mixing.mix(d, {"a": 1.0})
     with pytest.raises(ValueError):
