@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .cluster import ship
 from .errors import InvalidInput, NotIndexed
 from .functions import codec, haar
-from .operators import feed, index, scoring, sync
+from .operators import feed, index, metrics, scoring, sync
 from .schema import DELETE, FULL, UPSERT, Geometry
 from .sources.store import Store
 
@@ -88,6 +88,10 @@ class Engine:
         snapshot, cursor = self.store.snapshot()
         return feed.replay(snapshot, self.store.events().where(F.col("seq") > cursor), "post_id", PAYLOAD)
 
+    def page(self, after: int = -1, limit: int = 10_000) -> DataFrame:
+        """The next ``limit`` images after an id, in order."""
+        return self.images().where(F.col("post_id") > after).orderBy("post_id").limit(limit)
+
     def compact(self) -> int:
         """Write the state as a new snapshot and its index, and turn readers to it; returns its cursor."""
         cursor = self.store.cursor()
@@ -162,6 +166,14 @@ class Engine:
         s = index.stats(feed.slots(self.store.events().unionByName(self._snapshot_events(cursor)), "post_id"))
         return s.crossJoin(lag).withColumns({"cursor": F.lit(self.store.cursor()).cast("long"), "snapshot_cursor": F.lit(cursor).cast("long"), "horizon": F.lit(self.store.horizon()).cast("long")})
 
+    def metrics(self, now: Column | None = None) -> DataFrame:
+        """(line): the status as gauges, and the log's events by kind, in the text format that scrapers read."""
+        s = self.status(now)
+        gauges = s.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in s.columns))).alias("g")).select("g.name", "g.value")
+        lines = gauges.select(F.concat(F.lit("lumisig_"), F.col("name"), F.lit(" "), F.col("value").cast("string")).alias("line"))
+        kinds = metrics.counters(self.store.events().select(F.when(F.col("op") == UPSERT, "upsert").otherwise("delete").alias("op")), "op")
+        return lines.unionAll(metrics.exposition(kinds, "lumisig_writes_total", "total"))
+
     def _snapshot_events(self, cursor: int) -> DataFrame:
         """The snapshot's rows as upserts, but for those whose events are still in the log."""
         rows, _ = self.store.snapshot()

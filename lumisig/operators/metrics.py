@@ -18,6 +18,11 @@ def counters(rows: DataFrame, *labels: str) -> DataFrame:
     return rows.groupBy(*labels).agg(F.count("*").alias("total"))
 
 
+def throughput(rows: DataFrame, seconds: float, failed: str = "failed") -> DataFrame:
+    """(n, errors, per_second) of calls (failed boolean) made within ``seconds``."""
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col(failed)).alias("errors"), (F.count("*") / F.lit(float(seconds))).alias("per_second"))
+
+
 def exposition(metrics: DataFrame, name: str, value: str) -> DataFrame:
     """(line): each row in the text format that metric scrapers read, the other columns as labels."""
     labels = [F.concat(F.lit(f'{c}="'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('\\"')), F.lit('"')) for c in metrics.columns if c != value]

@@ -86,6 +86,17 @@ class Follower:
         writer = files.select("seq").writeStream.foreachBatch(lambda batch, _: self.follow() and None).option("checkpointLocation", checkpoint)
         return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
+    def run(self, stop, pause: float = 2.0, back_off: float = 5.0, on_error=None) -> None:
+        """Follow by polling until ``stop()``; after an error the cursor stays and the next look waits longer."""
+        while not stop():
+            try:
+                self.follow()
+                time.sleep(pause)
+            except Exception as e:  # noqa: BLE001  the store may be out of reach for a while
+                if on_error:
+                    on_error(e)
+                time.sleep(back_off)
+
     def lag(self, now=None) -> float:
         """Age in seconds of the oldest event that is not applied."""
         return feed.lag(self.store.events(), self.cursor() or 0, now if now is not None else F.current_timestamp()).first()["lag_seconds"]

@@ -225,3 +225,48 @@ def test_stateful_stream(spark, tmp_path):
     q.awaitTermination(120)
     last = spark.table("latest").groupBy("key").agg(F.max_by(F.struct("seq", "op"), "seq").alias("x")).collect()
     assert {r["key"]: tuple(r["x"]) for r in last} == {10: (3, 1), 20: (4, 2), 30: (5, 1)}
+
+
+def test_service(spark, tmp_path):
+    from lumisig import service
+
+    e = Engine(spark, str(tmp_path / "db"), G)
+    c = [r.asDict() for r in channels(spark, range(6)).collect()]
+    bodies = [(r["post_id"], json.dumps({k: r[k] for k in "rgb"})) for r in c]
+    bad = [(-1, bodies[0][1]), (3_000_000_000, "{"), (50, "{"), (51, json.dumps({"r": [1], "g": [2], "b": [3]})), (52, bodies[0][1].replace("[", "[300,", 1)), (None, "x")]
+    ok, refused = service.images(e, spark.createDataFrame(bodies + bad, "post_id long, body string"))
+    errors = {r.post_id: r.error for r in refused.collect()}
+    assert errors[-1] == errors[3_000_000_000] == errors[None] == "invalid post_id" and errors[50] == "malformed JSON" and "64 values" in errors[51] and "64 values" in errors[52]
+    e.upsert(ok)
+    h = e.get(keys(spark, 4)).first().hash
+    asked = [{"post_id": 4, "limit": 2}, {"hash": h, "post_id": 1, "limit": 2}, {"channels": {k: c[4][k] for k in "rgb"}, "limit": 2}, {"post_id": 99}, {"hash": "x"}, {"hash": "x", "limit": 0}, {}, {"channels": {"r": [1]}},
+             {"post_id": 3_000_000_000}, {"post_id": 4, "min_score": 99.5}, {"post_id": 4, "limit": 100_000}]
+    rows = [(i, json.dumps(x)) for i, x in enumerate(asked)] + [(100, "nonsense"), (101, None)]
+    got = {r.query_id: (r.status, json.loads(r.body)) for r in service.answer(e, spark.createDataFrame(rows, "query_id long, body string")).collect()}
+    assert len(got) == len(rows) and got[0] == got[1] == got[2] and got[0][0] == 200
+    assert [x["post_id"] for x in got[0][1]][0] == 4 and len(got[0][1]) == 2 and got[0][1][0]["hash"] == h
+    assert got[3] == (404, {"error": "not_indexed"}) and len(got[10][1]) == 6 and [x["post_id"] for x in got[9][1]] == [4]
+    assert [got[i][0] for i in (4, 5, 6, 7, 8, 100, 101)] == [400] * 7
+    assert "limit" in got[5][1]["error"] and "hex" in got[4][1]["error"] and "needed" in got[6][1]["error"] and got[100][1]["error"] == "malformed JSON"
+    assert [r.post_id for r in e.page(2, 2).collect()] == [3, 4]
+    lines = [r.line for r in e.metrics().collect()]
+    assert "lumisig_live 6.0" in lines and 'lumisig_writes_total{op="upsert"} 6' in lines
+
+
+def test_polling_follower_keeps_going(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "db"), G)
+    e.upsert(channels(spark, range(3)))
+    f = Follower(spark, e.store, str(tmp_path / "f"))
+    seen, looks = [], []
+
+    def drain(real=f.follow):
+        looks.append(1)
+        if len(looks) == 1:
+            raise OSError("away")
+        return real()
+
+    f.follow = drain
+    f.run(lambda: f.cursor() == 3, pause=0.01, back_off=0.01, on_error=seen.append)
+    assert f.cursor() == 3 and len(seen) == 1
+    calls = spark.createDataFrame([(False,), (True,)], "failed boolean")
+    assert tuple(metrics.throughput(calls, 4).first()) == (2, 1, 0.5)
