@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 WINDOW = 2048
 END = 1
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-_TAIL = b".,;:!?"
+#: ASCII marks, which none of the tokenizer's patterns joins to a letter or digit before them.
+_TAIL = rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 
 
 class WordEncoder:
@@ -32,58 +33,65 @@ class WordEncoder:
     32-bit ids, as bytes.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         # of two generations of known words the older goes when the younger is full
-        self.tokenizer, self.known, self.older, self.most = Tokenizer.from_file(path), {b"": b""}, {}, most
+        self.tokenizer, self.known, self.older, self.most = Tokenizer.from_file(path), {}, {}, most
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # pieces that end a word
+        self.last[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_plain(self, texts: list[str], step: int = 4096) -> list[bytes]:
+    def _encode_plain(self, words: list[bytes], step: int = 4096) -> list[bytes]:
         """Words of letters only, which are one piece each: many at once."""
         out: list[bytes] = []
-        for i in range(0, len(texts), step):
-            part = texts[i : i + step]
-            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, piece = np.asarray(e.ids, "<u4").tobytes(), np.asarray(e.word_ids, np.int64)
-            cut = [0, *(4 * (np.flatnonzero(np.diff(piece)) + 1)).tolist(), len(ids)]
-            out += [ids[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)] if len(cut) == len(part) + 1 else self._encode(part)
+        for i in range(0, len(words), step):
+            part = words[i : i + step]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            cut = [0, *(4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()]
+            ids = ids.tobytes()
+            out += [ids[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)] if len(cut) == len(part) + 1 else self._encode([w.decode() for w in part])
         return out
 
     def _learn(self, words: set[bytes]) -> None:
-        known, older, cores = self.known, self.older, {}
+        known, older = self.known, self.older
+        if older:
+            again = [w for w in words if w in older]
+            known.update((w, older[w]) for w in again)
+            words.difference_update(again)
+        cores, new = {}, set()
         for w in words:
-            if w in older:
-                known[w] = older[w]
-                continue
             core = w.rstrip(_TAIL)
             # after a letter or digit, closing marks are a piece of their own
-            if len(core) < len(w) and core and (core[-1:].isalnum() or (len(core) > 1 and core[-2] == 0xC3 and core[-1] not in (0x97, 0xB7))):
-                cores[w] = core, w[len(core) :]
+            if core is not w and core and (core[-1:].isalnum() or (len(core) > 1 and core[-2] == 0xC3 and core[-1] not in (0x97, 0xB7))):
+                tail = w[len(core) :]
+                cores[w] = core, tail
+                new.add(core)
+                new.add(tail)
             else:
-                cores[w] = w, b""
-        new = {x: x.decode() for pair in cores.values() for x in pair if x not in known}
-        plain = [x for x, t in new.items() if t.isalpha()]
-        other = [x for x, t in new.items() if not t.isalpha()]
-        known.update(zip(plain, self._encode_plain([new[x] for x in plain]), strict=True))
-        known.update(zip(other, self._encode([new[x] for x in other]), strict=True))
-        known.update({w: known[a] + known[b] for w, (a, b) in cores.items()})
+                new.add(w)
+        plain, other = [], []
+        for w in new.difference(known):
+            (plain if w.isalpha() or w.decode().isalpha() else other).append(w)
+        known.update(zip(plain, self._encode_plain(plain), strict=True))
+        known.update(zip(other, self._encode([w.decode() for w in other]), strict=True))
+        known.update((w, known[a] + known[b]) for w, (a, b) in cores.items())
 
     def __call__(self, text: bytes) -> bytes:
         if b"<|" in text:
             return self._encode([text.decode()])[0]
-        words, known = text.lower().split(), self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > self.most:
-                self.older, self.known = known, {b"": b""}
-                known = self.known
-        self._learn({w for w in words if w not in known})
-        return b"".join([known[w] for w in words])
+        words = text.lower().split()
+        new = set(words).difference(self.known)
+        if new:
+            if len(self.known) > self.most:
+                self.older, self.known = self.known, {}
+                new = set(words)
+            self._learn(new)
+        return b"".join(map(self.known.__getitem__, words))
 
 
 @functools.lru_cache(maxsize=2)
