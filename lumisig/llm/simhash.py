@@ -7,6 +7,9 @@ complete distance. Fingerprints that are equal are one node, so copies are
 never paired. Buckets with many different fingerprints are compared in bounded
 blocks, each of which returns only links that join two groups (a spanning
 forest), so that the links stay linear in the rows.
+
+Texts that are merely similar (``SIMILAR``) differ in too many bits for that: their candidates
+come from MinHash bands and are verified by exact Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -59,11 +62,24 @@ class Plan:
 
 #: 64 bits over three words, two segments of 32 bits: of 3 differing bits one segment has at most one, so no pair is missed.
 STRICT = Plan(Code(3, 1), per_word=2, bits=32, max_distance=3, near=3)
-#: Jaccard similarity of about 0.8 or more over five-word shingles, estimated on 512 bits: at
-#: 0.8, 15 % of the bits differ (78, give or take 8); 86 keeps most of those that are estimated a little too far apart.
-#: Candidates come from ten 25-bit segments of a three-word code, where such pairs differ in
-#: some 9 % of the bits: 98 % have a segment with one differing bit or none.
-SIMILAR = Plan(Code(3, 5), per_word=2, bits=25, max_distance=86, near=24, verify=Code(5, 8))
+
+
+@dataclass(frozen=True)
+class Bands:
+    """All pairs of Jaccard similarity ``least`` or more over ``shingle``-word shingles.
+
+    Candidates agree in one of ``bands`` groups of ``rows`` MinHash minima; they are verified on
+    their complete sets of shingles.
+    """
+
+    shingle: int
+    bands: int
+    rows: int
+    least: float
+
+
+#: At a similarity of 0.8 a band agrees with probability 0.41, however the edits lie, so that 0.02 % of such pairs are in no band together.
+SIMILAR = Bands(5, bands=16, rows=4, least=0.8)
 
 
 def _ones(h: np.ndarray) -> np.ndarray:
@@ -231,8 +247,158 @@ def hex_digits(word: str) -> Column:
     return F.lower(F.lpad(F.hex(F.col(word)), 16, "0"))
 
 
-def deduplicate(docs: DataFrame, plan: Plan = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_set(words: list[bytes], k: int) -> np.ndarray:
+    """The different hashes of the k-word shingles, ascending; shorter texts are one shingle."""
+    if not words:
+        return np.empty(0, np.uint64)
+    k = min(k, len(words))
+    digest = xxhash.xxh64_intdigest
+    parts = [words[i : len(words) - k + 1 + i] for i in range(k)]
+    return np.unique(np.fromiter((digest(s, SEED) for s in map(b" ".join, zip(*parts))), np.uint64, len(words) - k + 1))
+
+
+def _band_keys(h: np.ndarray, plan: Bands, factors: np.ndarray) -> list[int]:
+    """A signed 64-bit key for each band."""
+    if not len(h):
+        return []
+    low = np.full(len(factors), 2**64 - 1, np.uint64)
+    for at in range(0, len(h), 8192):
+        low = np.minimum(low, (h[at : at + 8192] * factors[:, None]).min(1))
+    return [xxhash.xxh64_intdigest(low[i * plan.rows : (i + 1) * plan.rows].tobytes(), i) - (1 << 63) for i in range(plan.bands)]
+
+
+def _signed(docs: DataFrame, plan: Bands, id_col: str, text_col: str) -> DataFrame:
+    """(id, s0, s1, keys): a 128-bit digest of the text's set of shingles, and its band keys."""
+    factors = _derived(np.arange(1, plan.bands * plan.rows + 1, dtype=np.uint64), 1) | np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            digests, keys = np.zeros((b.num_rows, 2), np.int64), []
+            for i, t in enumerate(b.column(1)):
+                h = shingle_set((t.as_py() or b"").lower().split(), plan.shingle)
+                digests[i] = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64)
+                keys.append(_band_keys(h, plan, factors))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(keys, pa.list_(pa.int64()))], names=["id", "s0", "s1", "keys"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("t")).mapInArrow(run, "id long, s0 long, s1 long, keys array<long>")
+
+
+def _shingled(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """(rep, s): the bytes of each text's set of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = [shingle_set((t.as_py() or b"").lower().split(), k).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.binary())], names=["rep", "s"])
+
+    return docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").cast("binary").alias("t")).mapInArrow(run, "rep long, s binary")
+
+
+def _alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    small, large = sorted((len(a), len(b)))
+    if small < least * large:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (small + large - both)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float, salt: int = 512) -> DataFrame:
+    """The rows of ``pairs`` (src, dst) whose sets are alike. A dst of many pairs is dealt over tasks."""
+    hot = pairs.groupBy("dst").agg(F.ceil(F.count("*") / salt).cast("int").alias("m")).where("m > 1")
+    hot = F.broadcast(hot) if fits(hot, 100_000) else hot
+    left = pairs.join(hot, "dst", "left").select("src", "dst", F.pmod(F.xxhash64("src"), F.coalesce("m", F.lit(1))).cast("int").alias("z"))
+    right = sets.withColumnRenamed("rep", "dst").join(hot, "dst", "left").select("dst", F.col("s").alias("sd"), F.explode(F.sequence(F.lit(0), F.coalesce("m", F.lit(1)) - 1)).alias("z"))
+    both = left.join(right, ["dst", "z"]).select("src", "dst", "sd").join(sets.withColumnRenamed("rep", "src"), "src").select("src", "dst", "s", "sd")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [_alike(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), least) for x, y in zip(b.column(2), b.column(3), strict=True)]
+            yield b.select(["src", "dst"]).filter(pa.array(ok, pa.bool_()))
+
+    return both.mapInArrow(run, "src long, dst long").distinct()
+
+
+def _joined(least: float):
+    def run(group: pa.Table) -> pa.Table:
+        """Links between table rows and probe rows that join two groups, of all that are alike."""
+        reps, probe = group["rep"].to_numpy(), group["probe"].to_numpy()
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in group["s"]]
+        label = np.unique(group["label"].to_numpy(), return_inverse=True)[1]
+        table, src, dst = np.flatnonzero(~probe), [], []
+        for i in np.flatnonzero(probe):
+            for j in table:
+                if label[i] != label[j] and _alike(sets[i], sets[j], least):
+                    label[label == label[j]] = label[i]
+                    src.append(reps[i])
+                    dst.append(reps[j])
+        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+
+    return run
+
+
+def _labelled(reps: DataFrame, links: DataFrame) -> DataFrame:
+    """(rep, label): the smallest rep that links reach."""
+    parts = connected_components(links)
+    return reps.join(parts, reps["rep"] == parts["node"], "left").select("rep", F.coalesce("component", "rep").alias("label"))
+
+
+def similar_links(reps: DataFrame, sets_of, plan: Bands, crowded: int = 64, block: int = 256) -> DataFrame:
+    """(src, dst) that connect all of ``reps`` (rep, keys) that are alike and share a band.
+
+    First each meets three members of its bands; then only members of a band that this left in
+    different groups are compared. Bands with more than ``crowded`` of those are dealt out as
+    blocks; no pair is capped or dropped. ``sets_of`` gives (rep, s) of the reps asked for.
+    """
+    rows = reps.select("rep", F.explode("keys").alias("key"))
+    odd = F.xxhash64("rep")
+    ends = rows.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.min_by("rep", odd).alias("c"), F.count("*").alias("n")).where("a < b")
+    shared = materialize(rows.join(ends, "key"))
+    if shared.isEmpty():
+        return shared.select(F.col("rep").alias("src"), F.col("a").alias("dst"))
+    members = materialize(shared.select("rep").distinct())
+    sets = materialize(sets_of(members))
+    stars = materialize(shared.select(F.col("rep").alias("src"), F.explode(F.array("a", "b", "c")).alias("dst")).where("src <> dst").distinct())
+    first = materialize(_verified(stars, sets, plan.least))
+    named = shared.select("key", "rep").join(_labelled(members, first), "rep")
+    mixed = named.groupBy("key").agg(F.min("label").alias("la"), F.max("label").alias("lb"), F.count("*").alias("n")).where("la < lb").select("key", "n")
+    left = materialize(named.join(mixed, "key"))
+    calm = left.where(F.col("n") <= crowded)
+    other = calm.select("key", F.col("rep").alias("dst"), F.col("label").alias("label2"))
+    pairs = calm.join(other, "key").where("dst < rep AND label <> label2").select(F.col("rep").alias("src"), "dst").distinct()
+    out = first.unionByName(_verified(materialize(pairs.join(stars, ["src", "dst"], "left_anti")), sets, plan.least))
+    full = left.where(F.col("n") > crowded)
+    if full.isEmpty():
+        return out
+    # all pairs of two groups have a member that is not of the band's largest group
+    size = full.groupBy("key", "label").count()
+    top = materialize(size.groupBy("key").agg(F.max_by("label", "count").alias("top"), F.ceil(F.sum("count") / block).cast("int").alias("nt"), F.ceil((F.sum("count") - F.max("count")) / block).cast("int").alias("np")))
+    full = full.join(F.broadcast(top) if fits(top, 100_000) else top, "key")
+    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    table = full.select("key", "rep", "label", F.lit(False).alias("probe"), dealt("nt").alias("tb"), span("np").alias("pb"))
+    probes = full.where("label <> top").select("key", "rep", "label", F.lit(True).alias("probe"), dealt("np").alias("pb"), span("nt").alias("tb"))
+    both = table.unionByName(probes).join(sets, "rep")
+    return out.unionByName(both.groupBy("key", "tb", "pb").applyInArrow(_joined(plan.least), "src long, dst long"))
+
+
+def similar_classes(docs: DataFrame, plan: Bands = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id) for each row of ``docs``; ids, nulls and texts without words as in ``classes``."""
+    fp = materialize(_signed(docs, plan, id_col, text_col))
+    reps = materialize(fp.groupBy("s0", "s1").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")))
+    rows = docs.where(F.col(id_col).isNotNull())
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return _shingled(rows.join(wanted, F.col(id_col).cast("long") == F.col("rep"), "left_semi"), plan.shingle, id_col, text_col).distinct()
+
+    known = reps.where("rep IS NOT NULL")
+    parts = connected_components(similar_links(known.select("rep", "keys"), sets_of, plan))
+    named = reps.join(parts, reps["rep"] == parts["node"], "left").select("s0", "s1", F.coalesce("component", "rep").alias("component_id"))
+    return fp.select("id", "s0", "s1").join(materialize(named), ["s0", "s1"]).select("id", "component_id")
+
+
+def deduplicate(docs: DataFrame, plan: Plan | Bands = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class: that with the smallest id. Rows with a null id stay."""
-    keep = materialize(classes(docs, plan, id_col, text_col).where("id = component_id").select(F.col("id").alias("__keep")).distinct())
+    found = (similar_classes if isinstance(plan, Bands) else classes)(docs, plan, id_col, text_col)
+    keep = materialize(found.where("id = component_id").select(F.col("id").alias("__keep")).distinct())
     named = docs.where(F.col(id_col).isNotNull())
     return named.join(keep, F.col(id_col).cast("long") == F.col("__keep"), "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))

@@ -129,3 +129,38 @@ def test_long_texts_are_cut_nowhere():
     h = np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + 3]), 42) for i in range(len(words) - 2)], np.uint64)
     bits = [(2 * int(((h >> np.uint64(b)) & np.uint64(1)).sum()) > len(h)) << b for b in range(64)]
     assert simhash.fingerprint(words, simhash.Code(3, 1)) == [sum(bits)]
+
+
+def test_contiguous_edits_are_found(spark):
+    r = random.Random(21)
+    some = lambda n: [f"v{r.randrange(10**6)}" for _ in range(n)]
+    rows, pairs = [], []
+    for i in range(360):
+        n = r.randint(200, 400)
+        base, at = some(n), r.randrange(n // 4, n // 2)
+        part = int(n * r.uniform(0.17, 0.24))
+        near = [base + some(part), base[:at] + base[at + part :], base[:at] + some(part // 2) + base[at + part // 2 :]][i % 3]
+        if 0.8 <= jaccard(" ".join(base), " ".join(near)) <= 0.85:
+            pairs.append(2 * i + 1)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(near))]
+    kept = {x.doc_id for x in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(pairs) > 100 and sum(i in kept for i in pairs) <= 0.01 * len(pairs)
+    assert all(2 * i in kept for i in range(360))
+    assert all(i in kept for i in range(1, 720, 2) if jaccard(rows[i][1], rows[i - 1][1]) < 0.8)
+
+
+def test_crowded_bands_lose_none(spark):
+    r = random.Random(8)
+    base = [f"b{i}" for i in range(120)]
+    texts = [" ".join(base[:at] + [f"x{r.randrange(10**6)}" for _ in range(k)] + base[at + k :]) for at, k in ((r.randrange(100), r.randint(1, 20)) for _ in range(150))]
+    plan = simhash.SIMILAR
+    factors = simhash._derived(np.arange(1, 65, dtype=np.uint64), 1) | np.uint64(1)
+    keys = [simhash._band_keys(simhash.shingle_set(t.encode().split(), 5), plan, factors) for t in texts]
+    ids = range(len(texts))
+    near = [(b, a) for a, b in itertools.combinations(ids, 2) if set(keys[a]) & set(keys[b]) and jaccard(texts[a], texts[b]) >= 0.8]
+    reps = spark.createDataFrame(list(zip(ids, keys)), "rep long, keys array<long>")
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    for crowded, block in ((10**6, 9), (2, 9)):
+        got = {tuple(x) for x in simhash.similar_links(reps, lambda wanted: simhash._shingled(docs, 5, "doc_id", "text"), plan, crowded, block).collect()}
+        assert smallest(ids, got) == smallest(ids, near)
+        assert all(jaccard(texts[a], texts[b]) >= 0.8 for a, b in got)
