@@ -1,22 +1,29 @@
 """Mixing sources to target weights, by Pfair scheduling, in DataFrame functions only.
 
-Each source's documents form blocks. With weight w, block k of a source is
+Each source's documents form blocks. With share w of all weights, block k of a source is
 released at slot floor(k / w) and due at slot ceil((k + 1) / w); in each slot the released block with the
-earliest deadline runs, which keeps every source within one block of its share. Weights are
-multiples of 1 / period, so the schedule repeats: it is made for one period, a bounded table,
-and each block finds its slot in it by its number.
+earliest deadline runs, which keeps every source within one block of its share. Shares are exact
+fractions of the weights as they are written, so the schedule repeats with their common period; it is
+made for that, or for as many slots as the documents need where those are fewer.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import heapq
+import math
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from itertools import islice
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, scratch_dir
 
 MOST_SOURCES = 10_000
+#: Slots of a schedule that are made on the driver at a time.
+CHUNK = 1 << 18
 
 
 def shares(weights: Mapping[str, float], period: int) -> dict[str, int]:
@@ -46,6 +53,47 @@ def schedule(slots: Mapping[str, int]) -> list[tuple[str, int, int, int, int]]:
     return out
 
 
+def exact_shares(weights: Mapping[str, float]) -> dict[str, int]:
+    """The smallest whole numbers in proportion to the weights as they are written; their sum is the period of the schedule."""
+    if any(not (w > 0 and math.isfinite(w)) for w in weights.values()):
+        raise ValueError("weights must be over zero")
+    ws = {s: Fraction(str(w)) for s, w in weights.items()}
+    scale = math.lcm(*(w.denominator for w in ws.values()))
+    whole = {s: int(w * scale) for s, w in ws.items()}
+    common = math.gcd(*whole.values()) or 1
+    return {s: n // common for s, n in whole.items()}
+
+
+def exact_schedule(slots: Mapping[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, block, slot, release, deadline) without end: the earliest deadline first among the released, as ``schedule`` but by heaps."""
+    period = sum(slots.values())
+    waiting, ready, t = [(0, s, 0) for s in sorted(slots)], [], 0
+    while waiting or ready:
+        while waiting and waiting[0][0] <= t:
+            release, s, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(k + 1) * period // slots[s]), s, k, release))
+        due, s, k, release = heapq.heappop(ready)
+        yield s, k, t, release, due
+        heapq.heappush(waiting, ((k + 1) * period // slots[s], s, k + 1))
+        t += 1
+
+
+def _plan(spark: SparkSession, slots: Mapping[str, int], length: int) -> DataFrame:
+    """(__s, __b, __t): source, block and slot of the first ``length`` slots; longer ones are written by and by."""
+    of = exact_schedule(slots)
+    schema, path = "__s string, __b long, __t long", None
+    while True:
+        rows = [x[:3] for x in islice(of, min(CHUNK, length))]
+        length -= len(rows)
+        d = spark.createDataFrame(pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate((("__s", pa.string()), ("__b", pa.int64()), ("__t", pa.int64())))})) if rows else spark.createDataFrame([], schema)
+        if path is None and not length:
+            return F.broadcast(d) if len(rows) <= CHUNK // 2 else d
+        path = path or scratch_dir(spark)
+        d.write.mode("append").parquet(path)
+        if not length:
+            return spark.read.schema(schema).parquet(path)
+
+
 def mix(docs: DataFrame, weights: Mapping[str, float], block_docs: int = 8, period: int = 120, default: float | None = None, seed: int = 1, id_col: str = "doc_id", source_col: str = "source", rows_per_bucket: int = 1024) -> DataFrame:
     """``docs`` with mix_block, mix_slot and mix_place: its block in its source, that block's slot, its place in the block.
 
@@ -54,8 +102,9 @@ def mix(docs: DataFrame, weights: Mapping[str, float], block_docs: int = 8, peri
     which leaves the others' slots in proportion. Within a source documents are shuffled by a
     hash of their id. A source without a weight gets ``default``; without a default that is an
     error. Null sources are one source. Rows with null ids come first in their source; repeated
-    rows follow each other. Columns of the names that are added are replaced. The period grows to
-    twice the number of sources, of which 10,000 are allowed. Rows are numbered in buckets of the hash, so that a
+    rows follow each other. Columns of the names that are added are replaced. The table of slots holds
+    whole periods of the exact shares, at least ``period`` slots of them, or all slots that the documents
+    need where those are fewer; 10,000 sources are allowed. Rows are numbered in buckets of the hash, so that a
     hot source is dealt over tasks.
     """
     name = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
@@ -68,12 +117,18 @@ def mix(docs: DataFrame, weights: Mapping[str, float], block_docs: int = 8, peri
     if unknown and default is None:
         raise ValueError(f"no weight for {unknown[:5]}")
     every = {s: weights.get(s, default) for s in sorted({*weights, *sizes})}
-    period = period if len(every) <= period else 2 * len(every)
-    slots = shares(every, period)
+    slots = exact_shares(every) if every else {}
+    cycle = sum(slots.values())
+    need = max((-(-(-(-n // block_docs)) * cycle // slots[s]) for s, n in sizes.items()), default=0)  # the last block's deadline
+    repeats = -(-period // cycle) if cycle else 1
+    if repeats * cycle <= max(need, CHUNK):
+        length, turn = repeats * cycle, {s: n * repeats for s, n in slots.items()}
+    else:
+        length, turn = need, dict.fromkeys(slots, 1 << 62)  # every block has a row of its own
     spark = docs.sparkSession
-    table = spark.createDataFrame([(s, b, t) for s, b, t, _, _ in schedule(slots)], "__s string, __b long, __t long")
-    each = spark.createDataFrame([(s, n, max(1, -(-sizes.get(s, 0) // rows_per_bucket))) for s, n in slots.items()], "__s string, __n long, __m long")
-    d = d.join(F.broadcast(each), "__s")  # at most a row for each slot of the period
+    table = _plan(spark, slots, length)
+    each = spark.createDataFrame([(s, n, max(1, -(-sizes.get(s, 0) // rows_per_bucket))) for s, n in turn.items()], "__s string, __n long, __m long")
+    d = d.join(F.broadcast(each), "__s")  # a row for each source
     d = d.withColumn("__k", F.floor(F.col("__h") * F.col("__m") / F.lit(1 << 32)).cast("int"))
     # how many rows of the source stand in buckets before
     before = materialize(d.groupBy("__s", "__k").agg(F.count("*").alias("__c")))
@@ -82,8 +137,8 @@ def mix(docs: DataFrame, weights: Mapping[str, float], block_docs: int = 8, peri
     rank = f"ROW_NUMBER() OVER (PARTITION BY __s, __k ORDER BY __h, {id_col})"
     d = d.withColumn("__r", F.expr(rank)).join(before, ["__s", "__k"]).withColumn("__r", F.col("__r") + F.col("__f") - 1)
     d = d.withColumn("mix_block", F.floor(F.col("__r") / block_docs)).withColumn("mix_place", F.pmod("__r", F.lit(block_docs)))
-    d = d.withColumn("__b", F.pmod("mix_block", "__n")).join(F.broadcast(table), ["__s", "__b"])
-    d = d.withColumn("mix_slot", F.floor(F.col("mix_block") / F.col("__n")) * F.lit(period) + F.col("__t"))
+    d = d.withColumn("__b", F.pmod("mix_block", "__n")).join(table, ["__s", "__b"])
+    d = d.withColumn("mix_slot", F.floor(F.col("mix_block") / F.col("__n")) * F.lit(length) + F.col("__t"))
     added = ["mix_block", "mix_slot", "mix_place"]
     return d.select(*(c for c in docs.columns if c not in added), *added)
 

@@ -3,6 +3,8 @@
 import random
 import re
 from collections import Counter
+from fractions import Fraction
+from itertools import islice
 
 import pytest
 
@@ -106,3 +108,26 @@ def test_mix_edges(spark):
         mixing.mix(d, {"a": 1.0})
     with pytest.raises(ValueError):
         mixing.shares({"a": 0.0}, 10)
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.5, **{f"s{i}": 0.01 for i in range(50)}}, {"a": 0.9, **{f"s{i}": 0.001 for i in range(100)}}, {f"s{i}": 1 + i % 4 for i in range(20)}, {f"s{i}": 1.0 for i in range(300)}, {"a": 0.1, "b": 1 / 3}])
+def test_exact_schedule_follows_the_weights(weights):
+    total, done = sum(map(Fraction, map(str, weights.values()))), dict.fromkeys(weights, 0)
+    want = {s: Fraction(str(w)) / total for s, w in weights.items()}
+    for s, b, t, release, due in islice(mixing.exact_schedule(mixing.exact_shares(weights)), 2500):
+        assert release <= t < due and b == done[s] and release == b // want[s] and due == -(-(b + 1) // want[s])
+        done[s] += 1
+        assert abs(done[s] - (t + 1) * want[s]) < 1
+    assert all(abs(done[s] - 2500 * want[s]) < 1 for s in weights)
+
+
+@pytest.mark.parametrize("odd", [1.0, 1 / 3])
+def test_mix_keeps_to_the_weights_over_many_periods(spark, odd, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 500)
+    weights = {f"s{i}": 1.0 + i % 4 for i in range(19)} | {"s19": 4 * odd}
+    rows = [(i, f"s{i % 20}") for i in range(8000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights, block_docs=2).select("source", "mix_block", "mix_slot").distinct().collect()
+    assert len(got) == 4000 and len({x.mix_slot for x in got}) == 4000
+    for x in got:
+        w = Fraction(str(weights[x.source])) / sum(Fraction(str(y)) for y in weights.values())
+        assert x.mix_block // w <= x.mix_slot < -(-(x.mix_block + 1) // w)
