@@ -1,10 +1,11 @@
 """Lexical retrieval packing: fill each training window with documents that resemble its seed.
 
-The corpus is sharded as it is read. Each shard gets a BM25 inverted index over
-token ids; an unused piece seeds a window, the index returns its unused
-neighbours, best first, and they fill the window, the last one cut to fit. What
-is left of a shard is carried to the next shard of the same task. Nothing is
-shuffled, and memory is bounded by the shard.
+Document frequencies are counted over the whole corpus. Pieces are dealt to tasks by the
+terms that tell most of them, so that like pieces meet, or stay as they are read. Each shard
+gets a BM25 inverted index over token ids; an unused piece seeds a window, the index is asked
+for all its terms and returns its unused neighbours, best first, and they fill the window, the
+last one cut to fit. What is left of a shard is carried to the next shard of the same task, and
+memory is bounded by the shard.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 WINDOW = 2048
 END = 1
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -99,11 +102,25 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+class Statistics:
+    """How many pieces there are, their mean size, and how many hold each term."""
+
+    def __init__(self, n: int, mean: float, df: np.ndarray):
+        self.n, self.mean = n, mean
+        self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
+
+    @classmethod
+    def of(cls, pieces: list[np.ndarray]) -> Statistics:
+        df = np.bincount(np.concatenate([np.unique(p) for p in pieces]))
+        return cls(len(pieces), sum(map(len, pieces)) / len(pieces), df)
+
+
 class Index:
-    """BM25 over the token ids of one shard's pieces."""
+    """BM25 over the token ids of one shard's pieces; ``stats`` are the corpus's, or the shard's where not given."""
 
-    def __init__(self, pieces: list[np.ndarray], terms: int = 12, k1: float = 1.2, b: float = 0.75):
-        n = len(pieces)
+    def __init__(self, pieces: list[np.ndarray], stats: Statistics | None = None, k1: float = 1.2, b: float = 0.75):
+        stats = stats or Statistics.of(pieces)
+        n = self.n = len(pieces)
         size = np.array([len(p) for p in pieces])
         key = np.concatenate(pieces).astype(np.uint64) << np.uint64(32) | np.repeat(np.arange(n, dtype=np.uint64), size)
         key.sort()
@@ -111,51 +128,46 @@ class Index:
         tf = np.diff(np.append(new, len(key)))
         key = key[new]
         self.doc, term = (key & np.uint64(0xFFFFFFFF)).astype(np.int64), (key >> np.uint64(32)).astype(np.int64)
-        self.df = np.bincount(term)
-        self.at = np.concatenate(([0], np.cumsum(self.df)))
-        idf = np.log1p((n - self.df + 0.5) / (self.df + 0.5))
-        self.score = (idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[self.doc] / size.mean()))).astype(np.float32)
-        # of each piece, the terms that tell most and that others have too
-        use = np.flatnonzero((self.df[term] > 1) & (self.df[term] <= max(32, n // 16)))
-        order = use[np.lexsort((-self.score[use], self.doc[use]))]
-        first = np.searchsorted(self.doc[order], np.arange(n + 1))
-        self.query = [term[order[first[i] : min(first[i + 1], first[i] + terms)]] for i in range(n)]
-
-    def neighbours(self, i: int) -> np.ndarray:
-        """Other pieces that share a query term, best first; equal scores in order of place."""
-        if not len(self.query[i]):
-            return np.empty(0, np.int64)
-        rows = np.concatenate([np.arange(self.at[t], self.at[t + 1]) for t in self.query[i]])
-        docs, place = np.unique(self.doc[rows], return_inverse=True)
-        score = np.bincount(place, self.score[rows])
-        found = docs[np.argsort(-score, kind="stable")]
+        self.at = np.concatenate(([0], np.cumsum(np.bincount(term)))).tolist()
+        self.score = stats.idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[self.doc] / stats.mean))
+        order = np.argsort(self.doc, kind="stable")
+        self.query = np.split(term[order], np.cumsum(np.bincount(self.doc, minlength=n))[:-1])
+
+    def neighbours(self, i: int, free: np.ndarray | None = None) -> np.ndarray:
+        """Other pieces, of the ``free`` ones, that share a term, best first; equal scores in order of place."""
+        ranges = [slice(self.at[t], self.at[t + 1]) for t in self.query[i].tolist()]
+        score = np.bincount(np.concatenate([self.doc[r] for r in ranges]), np.concatenate([self.score[r] for r in ranges]), self.n)
+        found = np.flatnonzero(score > 0 if free is None else (score > 0) & free)
+        found = found[np.argsort(-score[found], kind="stable")]
         return found[found != i]
 
 
-def _pack_shard(pool: list[list], window: int, rest: bool) -> tuple[list[list[tuple]], list[list]]:
+def _pack_shard(pool: list[list], window: int, rest: bool, stats: Statistics | None = None) -> tuple[list[list[tuple]], list[list]]:
     """Sequences of (document, start, ids, document's tokens), and what is left for the next shard.
 
     pool: [document, start, ids, document's tokens], each shorter than a window.
     """
     if not pool:
         return [], []
-    index, done, out, at = Index([p[2] for p in pool]), [False] * len(pool), [], 0
+    index, free, out, at = Index([p[2] for p in pool], stats), np.ones(len(pool), bool), [], 0
     while True:
+        if len(pool) > 256 and 2 * np.count_nonzero(free) < len(pool):  # a smaller index is sooner read
+            pool = [p for p, f in zip(pool, free, strict=True) if f]
+            if pool:
+                index, free, at = Index([p[2] for p in pool], stats), np.ones(len(pool), bool), 0
         room, row = window, []
         while room:
-            while at < len(pool) and done[at]:
+            while at < len(pool) and not free[at]:
                 at += 1
             if at == len(pool):
                 break
-            for j in (at, *index.neighbours(at)):
-                if done[j]:
-                    continue
+            for j in (at, *index.neighbours(at, free)):
                 doc, start, ids, total = pool[j]
                 cut = min(room, len(ids))
                 row.append((doc, start, ids[:cut], total))
                 room -= cut
                 if cut == len(ids):
-                    done[j] = True
+                    free[j] = False
                 else:
                     pool[j][1:3] = start + cut, ids[cut:]
                 if not room:
@@ -168,18 +180,77 @@ def _pack_shard(pool: list[list], window: int, rest: bool) -> tuple[list[list[tu
             return out, []
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, shard_tokens: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _pieces(docs: DataFrame, tokenizer: str, window: int, end: int) -> DataFrame:
+    """(doc_id, start, ids, doc_tokens) of ``docs`` (id, text): full windows, and what is over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, last = encoder(tokenizer), np.array([end], "<u4").tobytes()
+        for b in batches:
+            rows = []
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                ids = encode(text.as_py() or b"") + last
+                rows += [(doc, i // 4, ids[i : i + 4 * window], len(ids) // 4) for i in range(0, len(ids), 4 * window)]
+            cols = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)], names=["doc_id", "start", "ids", "doc_tokens"])
+
+    return docs.mapInArrow(run, "doc_id long, start long, ids binary, doc_tokens long")
+
+
+def _statistics(pieces: DataFrame) -> Statistics:
+    """Of all pieces; a task sends a row a term, so that no more than the vocabulary is shuffled and collected."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, size = np.zeros(1, np.int64), 0, 0
+        for b in batches:
+            terms = [np.unique(np.frombuffer(x.as_py(), "<u4")) for x in b.column(0)]
+            size += sum(len(x.as_py()) // 4 for x in b.column(0))
+            n += len(terms)
+            if terms:
+                more = np.bincount(np.concatenate(terms), minlength=len(df))
+                more[: len(df)] += df
+                df = more
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *at.tolist()], pa.int64()), pa.array([n, size, *df[at].tolist()], pa.int64())], names=["term", "n"])
+
+    found = {r["term"]: r["n"] for r in pieces.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    n, size = found.pop(-2, 0), found.pop(-1, 0)
+    df = np.zeros(max(found, default=0) + 1, np.int64)
+    df[list(found)] = list(found.values())
+    return Statistics(n, size / max(n, 1), df)
+
+
+def _gathered(pieces: DataFrame, stats: Statistics) -> DataFrame:
+    """``pieces`` in the order of the two terms that tell most of each, dealt over tasks by range; a group of copies is dealt on by its ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tops = []
+            for x in b.column(2):
+                term, tf = np.unique(np.frombuffer(x.as_py(), "<u4"), return_counts=True)
+                top = term[np.argsort(-stats.idf[term] * tf / (tf + 1.2), kind="stable")[:2]].tolist()
+                tops.append((*top, -1)[:2])
+            a, z = zip(*tops) if tops else ((), ())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=[*b.schema.names, "__a", "__z"])
+
+    keyed = pieces.mapInArrow(run, "doc_id long, start long, ids binary, doc_tokens long, __a long, __z long").withColumn("__c", F.crc32("ids"))
+    order = ["__a", "__z", "__c", "doc_id", "start"]
+    return keyed.repartitionByRange(*order).sortWithinPartitions(*order).select(*pieces.columns)
+
+
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, shard_tokens: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text", gather: bool = True) -> DataFrame:
     """Pieces of all documents, dealt to sequences of at most ``window`` tokens (see SCHEMA).
 
     A document is its ids and then ``end``; null text is empty text, which gives ``end``
     alone. Only the last sequence of a task can be shorter than the window. Repeated rows are
     packed as often as they stand. ``tokenizer`` is the path of a tokenizer file that each
     executor can open. sequence_id holds the task's number above 40 bits, so that a task that
-    is run again gives the same ids.
+    is run again gives the same ids. Without ``gather`` pieces stay in the tasks and order in which
+    they are read, for callers whose order means something.
     """
+    pieces = materialize(_pieces(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string").cast("binary")), tokenizer, window, end))
+    stats = _statistics(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last = encoder(tokenizer), np.array([end], "<u4").tobytes()
         task = TaskContext.get()
         seq = (task.partitionId() if task else 0) << 40
         pool: list[list] = []
@@ -201,19 +272,23 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
 
         full: list[list[tuple]] = []
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.frombuffer(encode(text.as_py() or b"") + last, "<u4")
-                n = len(ids)
-                held += n
-                cut = n // window * window
-                full += [[(doc, i, ids[i : i + window], n)] for i in range(0, cut, window)]
-                if cut < n:
-                    pool.append([doc, cut, ids[cut:], n])
+            for doc, start, ids, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                ids = np.frombuffer(ids, "<u4")
+                held += len(ids)
+                if len(ids) < window:
+                    pool.append([doc, start, ids, n])
+                else:
+                    full.append([(doc, start, ids, n)])
                 if held >= shard_tokens:
-                    rows, pool = _pack_shard(pool, window, False)
+                    rows, pool = _pack_shard(pool, window, False, stats)
                     yield from emit(full + rows)
                     full, held = [], sum(len(p[2]) for p in pool)
-        rows, _ = _pack_shard(pool, window, True)
+        rows, _ = _pack_shard(pool, window, True, stats)
         yield from emit(full + rows)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string").cast("binary")).mapInArrow(run, SCHEMA)
+    if not gather:
+        return pieces.mapInArrow(run, SCHEMA)
+    whole = F.length("ids") == 4 * window
+    # full windows stay where they are; their ids have bit 39 set
+    full = pieces.where(whole).mapInArrow(run, SCHEMA).withColumn("sequence_id", F.col("sequence_id").bitwiseOR(F.lit(1 << 39)))
+    return full.unionByName(_gathered(pieces.where(~whole), stats).mapInArrow(run, SCHEMA))

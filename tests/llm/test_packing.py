@@ -90,3 +90,34 @@ def test_index_finds_the_best():
     pieces = [r.integers(0, 200, 50).astype("<u4") for _ in range(80)]
     pieces[7] = np.concatenate([pieces[3][:40], pieces[7][:10]])
     assert packing.Index(pieces).neighbours(3)[0] == 7 and packing.Index(pieces).neighbours(7)[0] == 3
+
+
+def test_all_terms_of_all_copies_count():
+    r = np.random.default_rng(4)
+    copy, rest = r.integers(0, 300, 60).astype("<u4"), [r.integers(1000, 40_000, 60).astype("<u4") for _ in range(60)]
+    pieces = [copy if i % 2 else rest[i // 2] for i in range(120)]  # half of the shard
+    assert set(packing.Index(pieces).neighbours(1).tolist()) == set(range(3, 120, 2))
+    # a neighbour that shares only the weakest of many terms
+    strong, other = np.arange(100, 140).astype("<u4"), np.arange(300, 340).astype("<u4")
+    pieces = [np.concatenate([np.repeat(strong, 5), [9]]).astype("<u4"), np.concatenate([other, [9]]).astype("<u4"), np.repeat(strong, 5), *([other] * 3)]
+    assert 1 in packing.Index(pieces).neighbours(0)
+
+
+def test_like_documents_meet_wherever_they_stand(spark):
+    r = random.Random(9)
+    topics = [["".join(r.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(150)] for _ in range(40)]
+    docs = [(i, " ".join(topics[i % 40])) for i in range(400)]  # ten copies of a text, far from each other
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartitionByRange(8, "doc_id")
+    found = packing.pack(d, PATH, shard_tokens=16_384).collect()
+    by_seq, _ = check(found, docs)
+    same = [max(sum(p.length for p in ps if p.doc_id % 40 == k) for k in range(40)) / sum(p.length for p in ps) for ps in by_seq.values()]
+    assert np.mean(same) > 0.6
+    stay = packing.pack(d, PATH, shard_tokens=16_384, gather=False).collect()
+    check(stay, docs)
+
+
+def test_frequencies_are_of_the_whole_corpus(spark):
+    docs = [(i, f"common word{i % 7}") for i in range(70)]
+    pieces = packing._pieces(spark.createDataFrame(docs, "doc_id long, text string").selectExpr("doc_id", "cast(text AS binary)").repartition(5), PATH, 2048, 1)
+    got, want = packing._statistics(pieces), packing.Statistics.of([np.frombuffer(r.ids, "<u4") for r in pieces.collect()])
+    assert got.n == want.n == 70 and got.mean == want.mean and np.array_equal(got.idf, want.idf)
