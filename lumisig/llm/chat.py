@@ -1,7 +1,7 @@
 """Conversations in reply order, without the quotations that tell the order.
 
-Quoted passages are found by their nested marks, normalised and hashed, and
-joined to the messages of the same conversation that first said them.
+Quoted passages are found by their nested marks, normalised and hashed, with their
+sentences and windows of words, and joined to the messages of the same conversation that first said them.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 _MARK = re.compile(r"[ \t]*((?:>[ \t]?)+)")
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
+#: Words of the windows by which parts of lines and paragraphs meet, however they are cut or wrapped.
+WINDOW = 6
 _NOTE = re.compile(r"[^\n]{1,200}\b(?:wrote|writes|said|schrieb|escribió|a écrit)\s*:\s*", re.I)
 
 
@@ -47,8 +50,10 @@ def normal(passage: str) -> str:
 
 
 def passages(text: str) -> set[int]:
-    """Hashes of the whole text, its paragraphs and its lines, each normalised."""
-    parts = {normal(p) for p in (text, *re.split(r"\n\s*\n", text), *text.split("\n"))} - {""}
+    """Hashes of the whole text, its paragraphs, lines and sentences, and of every ``WINDOW`` words in a row, each normalised."""
+    parts = {normal(p) for p in (text, *re.split(r"\n\s*\n", text), *text.split("\n"), *_SENTENCE.split(text))} - {""}
+    words = normal(text).split(" ")
+    parts.update(" ".join(words[i : i + WINDOW]) for i in range(len(words) - WINDOW + 1))
     return {xxhash.xxh64_intdigest(p) - (1 << 63) for p in parts}
 
 

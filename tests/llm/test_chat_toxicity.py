@@ -119,3 +119,15 @@ def test_library_stands_without_this_subpackage():
         if p.parent.name != "llm":
             names = {getattr(n, "module", None) or "" for n in ast.walk(ast.parse(p.read_text())) if isinstance(n, ast.ImportFrom)}
             assert not any("llm" in n for n in names), p
+
+
+def test_partial_and_wrapped_quotations(spark):
+    first = "The old mill stands by the river. Nobody has lived there since the great flood came! We should visit it on Sunday morning if the weather stays dry."
+    other = "A second message with other words in it. It says nothing about the place that the first describes."
+    rows = [(1, 0, first), (1, 1, other)]
+    rows += [(1, 2, "> Nobody has lived there since the great flood came!\nReally?")]  # one sentence of a line
+    rows += [(1, 3, "> there since the great flood came! We should\n> visit it on Sunday morning if\nYes.")]  # cut and re-wrapped
+    rows += [(1, 4, "> It says nothing about\n> the place that the first\nNo.\n> describes.\nIndeed.")]  # an inline reply
+    rows += [(1, 5, "> words that nobody has said so far in this talk\nHm.")]
+    got = {r.turn: (r.reply_to, r.thread, r.n_quotes) for r in chat.link(spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {0: (None, 0, 0), 1: (None, 1, 0), 2: (0, 0, 1), 3: (0, 0, 1), 4: (1, 1, 2), 5: (None, 5, 1)}
