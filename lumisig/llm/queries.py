@@ -143,5 +143,5 @@ ORACLES: dict[str, str] = {
       CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
       CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to
     FROM m""",
-    "op8_pfair_mix": mixing.mix_sql("documents", TARGETS, "doc_id, source"),
+    "op8_pfair_mix": mixing.mix_sql("documents", TARGETS, "doc_id, source", default=1.0),
 }

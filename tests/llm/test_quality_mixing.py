@@ -63,25 +63,14 @@ def test_shrinkage(spark):
     assert got[5000].host_rate < 0.6 and got[5000].base_failed and sum(r.kept for r in got.values()) == 200
 
 
-@pytest.mark.parametrize("weights", [{"a": 0.5, **{f"s{i}": 0.01 for i in range(50)}}, {f"s{i}": 1 + i % 4 for i in range(20)}, {"x": 1.0}, {"a": 1, "b": 1e-6}])
-def test_schedule_keeps_windows(weights):
-    slots = mixing.shares(weights, 120)
-    done = dict.fromkeys(slots, 0)
-    for s, b, t, release, due in mixing.schedule(slots):
-        assert release <= t < due and b == done[s]
-        done[s] += 1
-        assert max(abs(done[x] - (t + 1) * slots[x] / 120) for x in slots) < 1
-    assert done == slots
-
-
 def test_mix(spark):
     r = random.Random(1)
     rows = [(i, r.choice("aaab") if i % 50 else None, f"t{i}", 5) for i in range(3000)]
     d = spark.createDataFrame(rows, "doc_id long, source string, text string, mix_slot_old int")
     weights = {"a": 1.0, "b": 2.0, "": 1.0}
-    got = mixing.mix(d, weights, block_docs=4, period=40, rows_per_bucket=100).collect()
+    got = mixing.mix(d, weights, block_docs=4, rows_per_bucket=100).collect()
     assert sorted(x.doc_id for x in got) == list(range(3000)) and len({(x.mix_slot, x.mix_place) for x in got}) == 3000
-    one = mixing.mix(d, weights, block_docs=4, period=40, rows_per_bucket=10**6).collect()
+    one = mixing.mix(d, weights, block_docs=4, rows_per_bucket=10**6).collect()
     assert {x.doc_id: (x.mix_slot, x.mix_place) for x in got} == {x.doc_id: (x.mix_slot, x.mix_place) for x in one}
     got.sort(key=lambda x: (x.mix_slot, x.mix_place))
     order = []
@@ -107,7 +96,7 @@ def test_mix_edges(spark):
     with pytest.raises(ValueError, match="no weight"):
         mixing.mix(d, {"a": 1.0})
     with pytest.raises(ValueError):
-        mixing.shares({"a": 0.0}, 10)
+        mixing.exact_shares({"a": 0.0})
 
 
 @pytest.mark.parametrize("weights", [{"a": 0.5, **{f"s{i}": 0.01 for i in range(50)}}, {"a": 0.9, **{f"s{i}": 0.001 for i in range(100)}}, {f"s{i}": 1 + i % 4 for i in range(20)}, {f"s{i}": 1.0 for i in range(300)}, {"a": 0.1, "b": 1 / 3}])
@@ -125,9 +114,31 @@ def test_exact_schedule_follows_the_weights(weights):
 def test_mix_keeps_to_the_weights_over_many_periods(spark, odd, monkeypatch):
     monkeypatch.setattr(mixing, "CHUNK", 500)
     weights = {f"s{i}": 1.0 + i % 4 for i in range(19)} | {"s19": 4 * odd}
+    total = sum(Fraction(str(y)) for y in weights.values())
     rows = [(i, f"s{i % 20}") for i in range(8000)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights, block_docs=2).select("source", "mix_block", "mix_slot").distinct().collect()
     assert len(got) == 4000 and len({x.mix_slot for x in got}) == 4000
     for x in got:
-        w = Fraction(str(weights[x.source])) / sum(Fraction(str(y)) for y in weights.values())
+        w = Fraction(str(weights[x.source])) / total
+        assert x.mix_block // w <= x.mix_slot < -(-(x.mix_block + 1) // w)
+
+
+def test_every_source_stays_within_a_block_of_its_target_for_fifty_periods(spark):
+    weights = {f"s{i}": 1.0 + i % 4 for i in range(20)}
+    d = spark.range(20 * 50 * 4).selectExpr("id AS doc_id", "concat('s', id % 20) AS source")
+    got = sorted((r.mix_slot, r.source) for r in mixing.mix(d, weights, block_docs=1).collect())
+    slots, done = {t: s for t, s in got}, Counter()
+    assert len(slots) == len(got)
+    for t in range(50 * 50):
+        done[slots[t]] += 1  # no slot is empty while all sources last
+        assert all(abs(done[s] - (t + 1) * Fraction(int(w), 50)) < 1 for s, w in weights.items())
+    assert [done[f"s{i}"] for i in range(4)] == [50, 100, 150, 200]
+
+
+def test_any_number_of_sources(spark):
+    d = spark.range(24_000).selectExpr("id AS doc_id", "concat('s', id % 12000) AS source")
+    got = mixing.mix(d, {"s7": 3.0, "none": 1.0}, block_docs=1, default=1.0).select("source", "mix_block", "mix_slot").collect()
+    assert len(got) == 24_000 == len({x.mix_slot for x in got})
+    for x in got:
+        w = Fraction(3 if x.source == "s7" else 1, 12_003)
         assert x.mix_block // w <= x.mix_slot < -(-(x.mix_block + 1) // w)
