@@ -2,7 +2,7 @@
 
 Each document gets its counts; rule failures are summed by host, each host's
 rate is shrunk with a beta prior fitted to all hosts, and the host's verdict
-joins back to its documents.
+joins back to its documents, where it sets the limits that they are judged by.
 """
 
 from __future__ import annotations
@@ -20,11 +20,12 @@ SYMBOLS = r"[#*$%&|<>]"
 
 @dataclass(frozen=True)
 class Limits:
-    """Rules: a document's own limits, and what is done on hosts that often break them.
+    """A document's limits, and how a host's record moves them.
 
-    A document that breaks the symbol, line or stutter rule goes unless its host's shrunk rate
-    for that rule is under ``forgiven``; a host whose shrunk rate of documents that break any
-    rule is over ``rotten`` goes as a whole.
+    A host's rate of breaking a rule has a beta posterior. Where that says, at ``sure`` standard
+    deviations, that the host breaks a soft rule more than twice as often as the corpus, its documents
+    are judged at half the rule's limit; where it says less than half as often, at one and a half times the
+    limit. A host that breaks any rule in more than half of its documents, as surely, goes as a whole.
     """
 
     min_words: int = 20
@@ -33,8 +34,7 @@ class Limits:
     dup_line_percent: int = 30
     dup_lines: int = 3
     stutter_percent: int = 30
-    forgiven: float = 0.001
-    rotten: float = 0.6
+    sure: float = 2.326  # 99 % of a normal distribution, which stands for the beta posterior
 
 
 def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *carry: str) -> DataFrame:
@@ -74,29 +74,32 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *car
     )
 
 
-def rules(limits: Limits) -> dict[str, Column]:
-    """Each rule's failure as a boolean of the counts."""
+def base_rule(limits: Limits) -> Column:
+    return (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.repeat_percent * F.col("n_words"))
+
+
+def soft_rules(limits: Limits, halves: int = 2) -> dict[str, Column]:
+    """Each soft rule's failure as a boolean of the counts, at ``halves`` halves of its limit."""
+    over = lambda n, percent, of: 200 * F.col(n) > halves * percent * F.col(of)
     return {
-        "base": (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.repeat_percent * F.col("n_words")),
-        "symbols": 100 * F.col("n_symbols") > limits.symbol_percent * F.col("word_chars"),
-        "lines": (F.col("n_dup_lines") >= limits.dup_lines) & (100 * F.col("n_dup_lines") > limits.dup_line_percent * F.col("n_lines")),
-        "stutter": 100 * F.col("n_stutter") > limits.stutter_percent * F.col("n_words"),
+        "symbols": over("n_symbols", limits.symbol_percent, "word_chars"),
+        "lines": (F.col("n_dup_lines") >= limits.dup_lines) & over("n_dup_lines", limits.dup_line_percent, "n_lines"),
+        "stutter": over("n_stutter", limits.stutter_percent, "n_words"),
     }
 
 
-#: Rules that a host's record can forgive.
+#: Rules whose limits a host's record moves.
 SOFT = ("symbols", "lines", "stutter")
 
 
-
 def host_rates(judged: DataFrame) -> DataFrame:
-    """(host, n, and for base, each soft rule and any: the shrunk rate), one row per host.
+    """(host, n, and for each soft rule and any: m_ the corpus's rate, p_ and sd_ the posterior mean and deviation of the host's), one row per host.
 
     The prior of each rule is a beta distribution with the mean and variance of the hosts'
     rates (method of moments over hosts of at least two documents). Where there is no variance
     to fit, its strength is one document.
     """
-    names = ["base", *SOFT, "any"]
+    names = [*SOFT, "any"]
     host = judged.groupBy("host").agg(F.count("*").alias("n"), *(F.sum(F.col(f"f_{r}").cast("long")).alias(r) for r in names))
     rate = lambda r: F.when(F.col("n") >= 2, F.col(r) / F.col("n"))
     prior = host.agg(*(x for r in names for x in (F.coalesce(F.sum(r) / F.sum("n"), F.lit(0.0)).alias(f"m_{r}"), F.coalesce(F.var_samp(rate(r)), F.lit(0.0)).alias(f"v_{r}"))))
@@ -104,24 +107,35 @@ def host_rates(judged: DataFrame) -> DataFrame:
         m, v = F.col(f"m_{r}"), F.col(f"v_{r}")
         k = F.when((v > 0) & (m * (1 - m) / F.when(v > 0, v) > 2), m * (1 - m) / F.when(v > 0, v) - 1).otherwise(F.lit(1.0))
         prior = prior.withColumn(f"k_{r}", F.least(k, F.lit(10_000.0)))
-    # the prior is one row
-    return host.crossJoin(F.broadcast(prior)).select("host", "n", *(((F.col(r) + F.col(f"m_{r}") * F.col(f"k_{r}")) / (F.col("n") + F.col(f"k_{r}"))).alias(r) for r in names))
+    d = host.crossJoin(F.broadcast(prior))  # the prior is one row
+    for r in names:
+        strength = F.col("n") + F.col(f"k_{r}")
+        d = d.withColumn(f"p_{r}", (F.col(r) + F.col(f"m_{r}") * F.col(f"k_{r}")) / strength)
+        d = d.withColumn(f"sd_{r}", F.sqrt(F.col(f"p_{r}") * (1 - F.col(f"p_{r}")) / (strength + 1)))
+    return d.select("host", "n", *(f"{x}_{r}" for r in names for x in ("m", "p", "sd")))
 
 
 def judge(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", salts: int = 32, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, carry..., counts..., base_failed, host_rate, kept) for each row of ``docs``.
+    """(id, carry..., counts..., base_failed, host_rate, by_host, kept) for each row of ``docs``.
 
-    Null or absent text fails the base rule. A null host is a host of its own. Repeated rows
-    are judged and counted as often as they stand. A hot host's rows are dealt over ``salts``
-    tasks in the join; sums by host are combined before they are shuffled.
+    host_rate is the posterior mean of the host's rate of breaking any rule; by_host says whether
+    the host's verdict changed the document's. Null or absent text fails the base rule. A null host is a
+    host of its own. Repeated rows are judged and counted as often as they stand. A hot host's rows are
+    dealt over ``salts`` tasks in the join; sums by host are combined before they are shuffled.
     """
     d = counts(docs.withColumn("__host", F.coalesce(F.col(host_col).cast("string"), F.lit("")) if host_col in docs.columns else F.lit("")), id_col, text_col, "__host", *carry)
-    broken = rules(limits)
-    d = d.select("*", *(F.coalesce(c, F.lit(False)).alias(f"f_{r}") for r, c in broken.items())).withColumnRenamed("__host", "host")
+    no = lambda c: F.coalesce(c, F.lit(False))
+    d = d.select("*", no(base_rule(limits)).alias("f_base"), *(no(c).alias(f"f_{r}") for r, c in soft_rules(limits).items())).withColumnRenamed("__host", "host")
     d = materialize(d.withColumn("f_any", F.greatest("f_base", *(f"f_{r}" for r in SOFT))))
-    rates = host_rates(d).select("host", F.col("any").alias("host_rate"), *(F.col(r).alias(f"r_{r}") for r in SOFT), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    rates = host_rates(d)
+    above = lambda r, level: F.col(f"p_{r}") - level > limits.sure * F.col(f"sd_{r}")
+    below = lambda r, level: level - F.col(f"p_{r}") > limits.sure * F.col(f"sd_{r}")
+    halves = [F.when(above(r, 2 * F.col(f"m_{r}")), 1).when(below(r, F.col(f"m_{r}") / 2), 3).otherwise(2).alias(f"h_{r}") for r in SOFT]
+    rates = rates.select("host", F.col("p_any").alias("host_rate"), above("any", F.lit(0.5)).alias("rotten"), *halves, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     d = d.withColumn("salt", F.pmod(F.xxhash64("id", "n_words", "word_chars"), F.lit(salts)).cast("int")).join(rates, ["host", "salt"])
-    bad = F.col("host_rate") > limits.rotten
+    strict, loose = soft_rules(limits, 1), soft_rules(limits, 3)
+    alone, bad = F.col("f_base"), F.col("f_base") | F.col("rotten")
     for r in SOFT:
-        bad = bad | (F.col(f"f_{r}") & (F.col(f"r_{r}") >= limits.forgiven))
-    return d.select("id", *carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stutter", F.col("f_base").alias("base_failed"), "host_rate", (~F.col("f_base") & ~bad).alias("kept"))
+        alone = alone | F.col(f"f_{r}")
+        bad = bad | F.when(F.col(f"h_{r}") == 1, no(strict[r])).when(F.col(f"h_{r}") == 3, no(loose[r])).otherwise(F.col(f"f_{r}"))
+    return d.select("id", *carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stutter", F.col("f_base").alias("base_failed"), "host_rate", (bad != alone).alias("by_host"), (~bad).alias("kept"))

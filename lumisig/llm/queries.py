@@ -95,31 +95,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _RATE = "CASE WHEN n >= 2 THEN {0} / n END"
+_SOFT = {
+    "symbols": "200 * n_symbols > {0} * 6 * word_chars",
+    "lines": "n_dup_lines >= 3 AND 200 * n_dup_lines > {0} * 30 * n_lines",
+    "stutter": "200 * n_stutter > {0} * 30 * n_words",
+}
 
 
-def _shrunk(rule: str) -> str:
-    """DuckDB SQL of a host's shrunk rate, from its sums and the prior's mean m and variance v."""
+def _posterior(rule: str) -> str:
+    """DuckDB SQL of a host's posterior mean and deviation, from its sums and the prior's mean m and variance v."""
     k = f"least(CASE WHEN v_{rule} > 0 AND m_{rule} * (1 - m_{rule}) / v_{rule} > 2 THEN m_{rule} * (1 - m_{rule}) / v_{rule} - 1 ELSE 1 END, 10000)"
-    return f"({rule} + m_{rule} * {k}) / (n + {k})"
+    p = f"(({rule} + m_{rule} * {k}) / (n + {k}))"
+    return f"{p} AS p_{rule}, sqrt({p} * (1 - {p}) / (n + {k} + 1)) AS sd_{rule}, m_{rule}"
+
+
+def _soft(rule: str) -> str:
+    """DuckDB SQL: whether a document breaks a soft rule at the limit that its host's posterior sets."""
+    half, more = _SOFT[rule].format(1), _SOFT[rule].format(3)
+    return f"CASE WHEN p_{rule} - 2 * m_{rule} > 2.326 * sd_{rule} THEN {half} WHEN m_{rule} / 2 - p_{rule} > 2.326 * sd_{rule} THEN {more} ELSE f_{rule} END"
 
 
 _HOST_RULES = f"""
     WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
     w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
-    windows AS (SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS s FROM w, range(1, 100000) r(i) WHERE i <= len(w) - 7),
+    starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w),
+    windows AS (SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS s FROM starts),
     twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
     covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, range(0, 8) r(j) GROUP BY doc_id),
     c AS (SELECT w.doc_id, host, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
       len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, len(l) AS n_lines,
       len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_stutter FROM w LEFT JOIN covered USING (doc_id)),
-    f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS f_base, 100 * n_symbols > 6 * word_chars AS f_symbols,
-      n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines AS f_lines, 100 * n_stutter > 30 * n_words AS f_stutter FROM c),
+    f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS f_base, {", ".join(f"{x.format(2)} AS f_{r}" for r, x in _SOFT.items())} FROM c),
     hosts AS (SELECT host, count(*) AS n, sum(f_symbols::INT) AS symbols, sum(f_lines::INT) AS lines, sum(f_stutter::INT) AS stutter,
       sum((f_base OR f_symbols OR f_lines OR f_stutter)::INT) AS anyrule FROM f GROUP BY host),
-    prior AS (SELECT {", ".join(f"sum({r}) / sum(n) AS m_{r}, coalesce(var_samp({_RATE.format(r)}), 0) AS v_{r}" for r in ("symbols", "lines", "stutter", "anyrule"))} FROM hosts),
-    rates AS (SELECT host, {", ".join(f"{_shrunk(r)} AS r_{r}" for r in ("symbols", "lines", "stutter", "anyrule"))} FROM hosts, prior)
+    prior AS (SELECT {", ".join(f"sum({r}) / sum(n) AS m_{r}, coalesce(var_samp({_RATE.format(r)}), 0) AS v_{r}" for r in (*_SOFT, "anyrule"))} FROM hosts),
+    rates AS (SELECT host, {", ".join(_posterior(r) for r in (*_SOFT, "anyrule"))} FROM hosts, prior)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f_base AS base_failed,
-      NOT f_base AND NOT (r_anyrule > 0.6 OR (f_symbols AND r_symbols >= 0.001) OR (f_lines AND r_lines >= 0.001) OR (f_stutter AND r_stutter >= 0.001)) AS kept
+      NOT (f_base OR p_anyrule - 0.5 > 2.326 * sd_anyrule OR {" OR ".join(f"({_soft(r)})" for r in _SOFT)}) AS kept
     FROM f JOIN rates USING (host)"""
 
 _CAP_LINKS = """
