@@ -56,12 +56,12 @@ def test_judgement(spark):
 
 
 def test_host_verdicts_move_the_limits(spark):
-    plain = [f"word{i}" for i in range(100)]
-    some = lambda n, i: " ".join(plain[: 100 - n] + ["#"] * n + [f"x{i}"])  # noqa: E731  n symbols among some 600 characters
-    rows = [(h * 1000 + i, some(60 if i < 20 else 0, i), f"h{h}") for h in range(10) for i in range(400)]  # 5 % break the symbol rule
-    rows += [(100_000 + i, some(60 if i < 100 else 20 if i < 150 else 0, i), "bad") for i in range(400)]  # a quarter do
-    rows += [(200_000 + i, some(33 if i < 3 else 0, i), "good") for i in range(1000)]  # 0.3 % do, barely
-    rows += [(300_000, some(20, 0), "h1"), (300_001, some(33, 0), "h1")]
+    # n symbols among some 590 characters: 25 break half the limit, 48 the limit, 80 one and a half times
+    some = lambda n, i: " ".join([f"# word{j}" if j < n else f"word{j}" for j in range(100)] + [f"x{i}"])
+    rows = [(h * 1000 + i, some(80 if i < 20 else 0, i), f"h{h}") for h in range(10) for i in range(400)]  # 5 % break the symbol rule
+    rows += [(100_000 + i, some(80 if i < 100 else 25 if i < 150 else 0, i), "bad") for i in range(400)]  # a quarter do
+    rows += [(200_000 + i, some(48 if i < 3 else 0, i), "good") for i in range(1000)]  # 0.3 % do, barely
+    rows += [(300_000, some(25, 0), "h1"), (300_001, some(48, 0), "h1")]
     got = {r.id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert not any(got[100_000 + i].kept for i in range(150)) and all(got[100_000 + i].kept for i in range(150, 400))
     assert [got[100_000].by_host, got[100_120].by_host] == [False, True]  # the second breaks half the limit only
