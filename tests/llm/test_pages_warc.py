@@ -2,6 +2,8 @@
 
 import gzip
 import hashlib
+import random
+import time
 
 import pytest
 
@@ -67,11 +69,66 @@ def test_tree_matching():
     assert size == 3 and [(a.kids[i].label, b.kids[j].label) for i, j in pairs] == [("div", "div"), ("div.z", "div.z")]
 
 
-def test_counting_texts_is_bounded():
-    texts = {}
-    for i in range(1000):
-        pages._note(texts, 7 if i % 2 else i)
-    assert len(texts) <= pages.KEPT_TEXTS and max(texts, key=texts.get) == 7
+def story(r, h, i):
+    """A page without any telling tag or name, and its text: the host's own boxes are around and among its blocks."""
+    word = lambda: "".join(r.choice("aeioulnrst") for _ in range(r.randint(2, 9)))
+    said = lambda n: " ".join(word() for _ in range(n))
+    blocks = [("h2", f"{said(4)} {i}")] + [(r.choice("ppps"), said(r.randint(8, 60))) for _ in range(r.randint(2, 9))]
+    tag = {"h2": "<h2>{}</h2>", "p": "<p>{}", "s": "<div class=x9>{}</div>"}
+    body = [tag[k].format(t) for k, t in blocks]
+    if h % 3 == 1:  # a box of the host between the title and the rest
+        body.insert(1, f"<div class=x3><p>Please keep our house {h} in mind<p>and its garden</div>")
+    if h % 3 == 2:  # plain blocks of the host beside the text
+        body = [f"<p>This is the gazette of town {h}</p>", *body, f"<p>Printed by hand in town {h}</p><ul><li>first floor</li><li>second floor</li></ul>"]
+    top = f"<div class=x1><div class=x2>The gazette {h}</div><ul><li>one<li>two {h}<li>three</ul></div>"
+    low = f"<div class=x7><p>All rights of {h}</p><div><p>Street {h * 3}</p></div></div>"
+    page = f"<html><head><title>{i}</title></head><body>{top}<div class=x5>{''.join(body)}</div>{low}</body></html>"
+    if h % 2:
+        page = page.replace("<div class=x5>", "").replace(f"</div>{low}", low)  # no box around the text either
+    return page, "\n\n".join(t for _, t in blocks)
+
+
+def test_the_template_alone_finds_the_text(spark):
+    r = random.Random(5)
+    rows = {i: (f"http://h{i % 8}.example/{i}", *story(r, i % 8, i)) for i in range(240)}
+    d = spark.createDataFrame([(i, u, p) for i, (u, p, _) in rows.items()], "page_id long, url string, html string").repartition(5)
+    got = {x.page_id: x.text for x in pages.main_text(d).collect()}
+    alone = {i: pages.extract(p, None, {}) for i, (_, p, _) in rows.items()}
+    assert sum(got[i] == t for i, (_, _, t) in rows.items()) == 240
+    assert sum(alone[i] == t for i, (_, _, t) in rows.items()) == 0  # each of the 240 needs the wrapper
+
+
+def test_all_that_an_article_holds_stays(spark):
+    rows = [(i, "http://d.example/", f"<body><div>Menu</div><article><h1>T</h1><div class=lead>Shared lead</div><table><tr><td>a<td>b</table><p>Own {i}<math><mi>x</mi></math></p></article></body>") for i in range(40)]
+    got = pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.text == f"T\n\nShared lead\n\na b\n\nOwn {r.page_id}x" for r in got)
+
+
+def test_deep_wide_and_broken_pages(spark):
+    deep = "<div>" * 10_000 + "<nav>menu</nav><p>deep" + "<p>x</p></div>" * 10_000
+    flat = "".join(f"<div class=c{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}>w{i}</div>" for i in range(5000))
+    rows = [(1, "http://e/", deep), (2, "http://e/", flat), (3, "http://e/", flat + "more"), (4, "http://e/", "<p>a" + '<a x="' * 150_000), (5, "http://e/", "<select>" * 30_000 + "<ul>" * 30_000 + "</p>" * 30_000 + "end")]
+    began = time.time()
+    got = {x.page_id: x.text for x in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert time.time() - began < 60
+    assert got[1].startswith("deep\n\nx\n\nx") and "menu" not in got[1] and got[1].count("x") == 10_000
+    assert got[2].startswith("w0\n\nw1\n\n") and got[2].count("w") == 5000 and got[3].endswith("more")
+    assert got[4].startswith("a") and got[5] == "end"
+    began = time.time()
+    pages.tree('<a x="' * 170_000)  # a megabyte
+    assert time.time() - began < 2
+
+
+def test_templates_are_bounded_by_the_size_of_pages():
+    names = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    learner, sizes = pages.Learner(), []
+    for i in range(600):
+        learner.add("h", "<body>" + "".join(f"<div class={names(i * 10 + k)}>w{i}{k}</div>" for k in range(10)) + f"<p class=text>own {i}</p></body>")
+        sizes.append(len(learner.dump().__next__()[1]))
+    assert len(learner.hosts["h"].template.preorder()) <= pages.Host.MOST + 12 and max(sizes[300:]) <= 1.2 * max(sizes[:300])
+    more = pages.Host.read(learner.hosts["h"].dump())
+    more.merge(learner.hosts["h"])
+    assert more.template.pages == 1200 and any(s.label == "p.text" and s.pages == 1200 for s in more.template.preorder())
 
 
 def rows_of(spark):
