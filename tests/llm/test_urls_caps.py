@@ -118,6 +118,48 @@ def test_recall_at_the_threshold():
     assert np.mean([bool(a[i] & a[i - 1]) for i in range(n)]) < 0.01
 
 
+@pytest.mark.parametrize("dim", [2, 3, 8, 32, 64, 384])
+def test_recall_and_filters_by_dimension(dim):
+    r = np.random.default_rng(dim)
+    n, least = 1500, 0.93
+    x = r.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = r.standard_normal((n, dim))
+    z -= (z * x).sum(1, keepdims=True) * x
+    y = least * x + (1 - least**2) ** 0.5 * z / np.linalg.norm(z, axis=1, keepdims=True)
+    found = []
+    for v in (x, y):
+        row, code = caps.decode(v, caps.Caps(), least)
+        found.append([set() for _ in range(n)])
+        for i, f in zip(row, code, strict=True):
+            found[-1][i].add(f)
+    assert np.mean([bool(a & b) for a, b in zip(*found, strict=True)]) >= 0.99
+    assert np.mean([len(a) for a in found[0]]) < 75 and max(map(len, found[0])) < 400
+
+
+def test_magnitudes_null_ids_and_repeated_ids(spark):
+    near, far = [1.0, 0.0], [0.9, 0.6]  # cosine 0.83
+    like = [1.0, 0.01]
+    times = lambda v, m: [x * m for x in v]
+    rows = [(1, times(near, 1e200), 1), (2, times(far, 1e200), 1), (3, times(near, 1e-200), 2), (4, times([0.8, 0.6], 1e-200), 2)]
+    rows += [(5, times(near, 1e300), 3), (6, times(like, 5e-320), 3), (None, like, 4), (7, near, 4), (None, [0.0, 1.0], 4)]
+    rows += [(9, near, 5), (9, [0.0, 1.0], 5), (8, like, 5), (10, [0.01, 1.0], 5)]
+    rows += [(None, near, 6), (None, like, 6)]
+    got = sorted(((r.id is None, r.id or 0, r.n_links, r.component_id or 0) for r in caps.join(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()))
+    want = [(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 0, 4), (5, 1, 5), (6, 1, 5), (7, 1, 7), (8, 1, 8), (9, 1, 8), (9, 1, 9), (10, 1, 9)]
+    assert got == sorted([(False, *w) for w in want] + [(True, 0, 1, 7), (True, 0, 0, 0), (True, 0, 1, 0), (True, 0, 1, 0)])
+
+
+@pytest.mark.parametrize("dim", [2, 8, 32])
+def test_join_equals_brute_force_in_few_dimensions(spark, dim):
+    r = np.random.default_rng(dim)
+    rows = [(i, r.standard_normal(dim).tolist(), int(r.integers(0, 2))) for i in range(250)]
+    rows += [(250 + i, (np.array(rows[i][1]) + r.standard_normal(dim) * 0.2).tolist(), rows[i][2]) for i in range(100)]
+    want, n = brute(rows)
+    got = {x.id: (x.n_links, x.component_id) for x in caps.join(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == want and n > 20
+
+
 def test_join_edges(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert caps.join(spark.createDataFrame([], schema)).count() == 0
