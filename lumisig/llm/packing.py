@@ -12,7 +12,10 @@ from __future__ import annotations
 
 import functools
 import os
-from collections.abc import Iterator
+import zlib
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -85,16 +88,31 @@ class WordEncoder:
         known.update((w, known[a] + known[b]) for w, (a, b) in cores.items())
 
     def __call__(self, text: bytes) -> bytes:
-        if b"<|" in text:
-            return self._encode([text.decode()])[0]
-        words = text.lower().split()
-        new = set(words).difference(self.known)
+        return next(self.each([text]))
+
+    def each(self, texts: Iterable[bytes], most_bytes: int = 1 << 22) -> Iterator[bytes]:
+        """Ids of each text in turn; the words of some ``most_bytes`` of text are learned at once."""
+        held: list[bytes | list[bytes]] = []
+        size = 0
+        for text in texts:
+            held.append(text if b"<|" in text else text.lower().split())
+            size += len(text)
+            if size >= most_bytes:
+                yield from self._flush(held)
+                held, size = [], 0
+        yield from self._flush(held)
+
+    def _flush(self, held: list[bytes | list[bytes]]) -> Iterator[bytes]:
+        words = set().union(*(x for x in held if x.__class__ is list))
+        new = words.difference(self.known)
         if new:
             if len(self.known) > self.most:
                 self.older, self.known = self.known, {}
-                new = set(words)
+                new = words
             self._learn(new)
-        return b"".join(map(self.known.__getitem__, words))
+        get = self.known.__getitem__
+        for x in held:
+            yield b"".join(map(get, x)) if x.__class__ is list else self._encode([x.decode()])[0]
 
 
 @functools.lru_cache(maxsize=2)
@@ -116,7 +134,10 @@ class Statistics:
 
 
 class Index:
-    """BM25 over the token ids of one shard's pieces; ``stats`` are the corpus's, or the shard's where not given."""
+    """BM25 over the token ids of one shard's pieces; ``stats`` are the corpus's, or the shard's where not given.
+
+    Terms of over an eighth of the pieces are rows of a matrix, which are added faster than lists of that length.
+    """
 
     def __init__(self, pieces: list[np.ndarray], stats: Statistics | None = None, k1: float = 1.2, b: float = 0.75):
         stats = stats or Statistics.of(pieces)
@@ -127,19 +148,44 @@ class Index:
         new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         tf = np.diff(np.append(new, len(key)))
         key = key[new]
-        self.doc, term = (key & np.uint64(0xFFFFFFFF)).astype(np.int64), (key >> np.uint64(32)).astype(np.int64)
-        self.at = np.concatenate(([0], np.cumsum(np.bincount(term)))).tolist()
-        self.score = stats.idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[self.doc] / stats.mean))
-        order = np.argsort(self.doc, kind="stable")
-        self.query = np.split(term[order], np.cumsum(np.bincount(self.doc, minlength=n))[:-1])
-
-    def neighbours(self, i: int, free: np.ndarray | None = None) -> np.ndarray:
-        """Other pieces, of the ``free`` ones, that share a term, best first; equal scores in order of place."""
-        ranges = [slice(self.at[t], self.at[t + 1]) for t in self.query[i].tolist()]
-        score = np.bincount(np.concatenate([self.doc[r] for r in ranges]), np.concatenate([self.score[r] for r in ranges]), self.n)
+        doc, term = (key & np.uint64(0xFFFFFFFF)).astype(np.int64), (key >> np.uint64(32)).astype(np.int64)
+        score = stats.idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[doc] / stats.mean))
+        order = np.argsort(doc, kind="stable")
+        self.query = np.split(term[order], np.cumsum(np.bincount(doc, minlength=n))[:-1])
+        held = np.bincount(term)
+        common = np.flatnonzero(8 * held > n)
+        self.row = np.full(len(held), -1)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), n))
+        often = self.row[term] >= 0
+        self.dense[self.row[term[often]], doc[often]] = score[often]
+        self.doc, self.score = doc[~often], score[~often]
+        held[common] = 0
+        self.at = np.concatenate(([0], np.cumsum(held)))
+
+    def scores(self, i: int) -> np.ndarray:
+        """BM25 of each piece for all terms of piece ``i``."""
+        term = self.query[i]
+        row = self.row[term]
+        total = self.dense[row[row >= 0]].sum(0)
+        rare = term[row < 0]
+        if len(rare):
+            ranges = [slice(a, z) for a, z in zip(self.at[rare].tolist(), self.at[rare + 1].tolist(), strict=True)]
+            total += np.bincount(np.concatenate([self.doc[x] for x in ranges]), np.concatenate([self.score[x] for x in ranges]), self.n)
+        return total
+
+    def neighbours(self, i: int, free: np.ndarray | None = None, first: int = 32) -> Iterator[int]:
+        """Other pieces, of the ``free`` ones, that share a term, best first; equal scores in order of place. The ``first`` are sorted before the rest."""
+        score = self.scores(i)
         found = np.flatnonzero(score > 0 if free is None else (score > 0) & free)
-        found = found[np.argsort(-score[found], kind="stable")]
-        return found[found != i]
+        found = found[found != i]
+        worst = -score[found]
+        if len(found) > first:
+            edge = np.partition(worst, first)[first]
+            head, tail = np.flatnonzero(worst < edge), np.flatnonzero(worst >= edge)
+            yield from found[head[np.argsort(worst[head], kind="stable")]].tolist()
+            found, worst = found[tail], worst[tail]
+        yield from found[np.argsort(worst, kind="stable")].tolist()
 
 
 def _pack_shard(pool: list[list], window: int, rest: bool, stats: Statistics | None = None) -> tuple[list[list[tuple]], list[list]]:
@@ -161,7 +207,7 @@ def _pack_shard(pool: list[list], window: int, rest: bool, stats: Statistics | N
                 at += 1
             if at == len(pool):
                 break
-            for j in (at, *index.neighbours(at, free)):
+            for j in chain((at,), index.neighbours(at, free)):
                 doc, start, ids, total = pool[j]
                 cut = min(room, len(ids))
                 row.append((doc, start, ids[:cut], total))
@@ -180,61 +226,126 @@ def _pack_shard(pool: list[list], window: int, rest: bool, stats: Statistics | N
             return out, []
 
 
+def narrow(tokenizer: str, end: int) -> str:
+    """The type that ids are stored in between steps: two bytes where all fit, else four."""
+    return "<u2" if max(len(encoder(tokenizer).last) - 1, end) < 1 << 16 else "<u4"
+
+
 def _pieces(docs: DataFrame, tokenizer: str, window: int, end: int) -> DataFrame:
-    """(doc_id, start, ids, doc_tokens) of ``docs`` (id, text): full windows, and what is over."""
+    """(doc_id, start, full, ids, doc_tokens, stats) of ``docs`` (id, text).
+
+    A piece's ids are in ``full`` (four bytes each) where it fills a window, in ``ids`` (``narrow``) where not. Each task
+    adds a row with ``stats`` alone: its pieces, their tokens, and how many hold each term.
+    """
+    kind = narrow(tokenizer, end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, last = encoder(tokenizer), np.array([end], "<u4").tobytes()
+        df, n, size = np.zeros(1 << 16, np.int64), 0, 0
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*rows)) or [()] * 6
+            types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "start", "full", "ids", "doc_tokens", "stats"])
+
         for b in batches:
-            rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = encode(text.as_py() or b"") + last
-                rows += [(doc, i // 4, ids[i : i + 4 * window], len(ids) // 4) for i in range(0, len(ids), 4 * window)]
-            cols = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)], names=["doc_id", "start", "ids", "doc_tokens"])
+            rows, terms, held = [], [], 0
+            texts = (text.as_py() or b"" for text in b.column(1))
+            for doc, ids in zip(b.column(0).to_pylist(), encode.each(texts), strict=True):
+                ids = np.frombuffer(ids + last, "<u4")
+                n, size, total = n + -(-len(ids) // window), size + len(ids), len(ids)
+                for i in range(0, total, window):
+                    part = ids[i : i + window]
+                    terms.append(np.unique(part))
+                    whole = len(part) == window
+                    rows.append((doc, i, part.tobytes() if whole else None, None if whole else part.astype(kind).tobytes(), total, None))
+                held += total
+                if held >= 1 << 20:
+                    df = _added(df, terms)
+                    yield out(rows)
+                    rows, terms, held = [], [], 0
+            df = _added(df, terms)
+            yield out(rows)
+        at = np.flatnonzero(df)
+        yield out([(None, None, None, None, None, np.concatenate(([n, size], at, df[at])).astype("<i8").tobytes())])
+
+    return docs.mapInArrow(run, "doc_id long, start long, full binary, ids binary, doc_tokens long, stats binary")
+
 
-    return docs.mapInArrow(run, "doc_id long, start long, ids binary, doc_tokens long")
+def _added(df: np.ndarray, terms: list[np.ndarray]) -> np.ndarray:
+    if not terms:
+        return df
+    more = np.bincount(np.concatenate(terms), minlength=len(df))
+    more[: len(df)] += df
+    return more
 
 
 def _statistics(pieces: DataFrame) -> Statistics:
-    """Of all pieces; a task sends a row a term, so that no more than the vocabulary is shuffled and collected."""
+    """Of all pieces, from the tasks' rows: no more than a row a term is collected."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n, size = np.zeros(1, np.int64), 0, 0
         for b in batches:
-            terms = [np.unique(np.frombuffer(x.as_py(), "<u4")) for x in b.column(0)]
-            size += sum(len(x.as_py()) // 4 for x in b.column(0))
-            n += len(terms)
-            if terms:
-                more = np.bincount(np.concatenate(terms), minlength=len(df))
-                more[: len(df)] += df
-                df = more
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *at.tolist()], pa.int64()), pa.array([n, size, *df[at].tolist()], pa.int64())], names=["term", "n"])
+            for x in b.column(0):
+                x = np.frombuffer(x.as_py(), "<i8")
+                k = (len(x) - 2) // 2
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(([-2, -1], x[2 : 2 + k]))), pa.array(np.concatenate((x[:2], x[2 + k :])))], names=["term", "n"])
 
-    found = {r["term"]: r["n"] for r in pieces.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    found = {r["term"]: r["n"] for r in pieces.where("stats IS NOT NULL").select("stats").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     n, size = found.pop(-2, 0), found.pop(-1, 0)
     df = np.zeros(max(found, default=0) + 1, np.int64)
     df[list(found)] = list(found.values())
     return Statistics(n, size / max(n, 1), df)
 
 
-def _gathered(pieces: DataFrame, stats: Statistics) -> DataFrame:
-    """``pieces`` in the order of the two terms that tell most of each, dealt over tasks by range; a group of copies is dealt on by its ids."""
+def _strongest(ids: np.ndarray, stats: Statistics) -> int:
+    """The two terms that tell most of a piece, as one number."""
+    term, tf = np.unique(ids, return_counts=True)
+    weight = stats.idf[term] * tf / (tf + 1.2)
+    first = int(weight.argmax())
+    a = int(term[first])
+    weight[first] = -1.0
+    second = int(weight.argmax())
+    return a << 32 | (int(term[second]) if second != first else 0)
+
+
+def _gathered(pieces: DataFrame, stats: Statistics, kind: str, shard_tokens: int) -> DataFrame:
+    """``pieces`` (doc_id, start, ids, doc_tokens) in the order of the two terms that tell most of each, dealt over tasks by range.
+
+    A group of copies is dealt on by its ids. The ranges' bounds come from a sample, which costs less than the pass over
+    all pieces that Spark's own range partitioning would add; every piece goes to the range that holds it.
+    """
+    spark = pieces.sparkSession
+    tokens = stats.n * stats.mean
+    # a few shards a task, so that few sequences are short; more tasks than the session has for shuffles only for large tables
+    n = int(max(1, min(tokens // (4 * shard_tokens), int(spark.conf.get("spark.sql.shuffle.partitions"))), tokens // (16 * shard_tokens)))
+    least = -(1 << 63)
+
+    def keys(b: pa.RecordBatch) -> list[tuple[int, int, int]]:
+        ids = [x.as_py() for x in b.column(2)]
+        return [(_strongest(np.frombuffer(x, kind), stats), zlib.crc32(x), least if d is None else d) for x, d in zip(ids, b.column(0).to_pylist(), strict=True)]
+
+    def batch(rows: list[tuple[int, int, int]]) -> list[pa.Array]:
+        return [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
+
+    bounds: list[tuple[int, int, int]] = []
+    if n > 1:
+
+        def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays(batch(keys(b)), names=["a", "c", "d"])
+
+        part = pieces.sample(min(1.0, 60.0 * n / max(stats.n, 1)), seed=1).mapInArrow(sampled, "a long, c long, d long")
+        seen = sorted(tuple(r) for r in part.collect())  # some 60 rows a task to come
+        bounds = [seen[len(seen) * i // n] for i in range(1, n)] if seen else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tops = []
-            for x in b.column(2):
-                term, tf = np.unique(np.frombuffer(x.as_py(), "<u4"), return_counts=True)
-                top = term[np.argsort(-stats.idf[term] * tf / (tf + 1.2), kind="stable")[:2]].tolist()
-                tops.append((*top, -1)[:2])
-            a, z = zip(*tops) if tops else ((), ())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=[*b.schema.names, "__a", "__z"])
+            rows = keys(b)
+            place = pa.array([bisect_right(bounds, r) for r in rows], pa.int32())
+            yield pa.RecordBatch.from_arrays([*b.columns, place, *batch(rows)], names=[*b.schema.names, "__p", "__a", "__c", "__d"])
 
-    keyed = pieces.mapInArrow(run, "doc_id long, start long, ids binary, doc_tokens long, __a long, __z long").withColumn("__c", F.crc32("ids"))
-    order = ["__a", "__z", "__c", "doc_id", "start"]
-    return keyed.repartitionByRange(*order).sortWithinPartitions(*order).select(*pieces.columns)
+    keyed = pieces.mapInArrow(run, "doc_id long, start long, ids binary, doc_tokens long, __p int, __a long, __c long, __d long")
+    return keyed.repartitionById(n, "__p").sortWithinPartitions("__a", "__c", "__d", "start").select(*pieces.columns)
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, shard_tokens: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text", gather: bool = True) -> DataFrame:
@@ -248,7 +359,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
     they are read, for callers whose order means something.
     """
     pieces = materialize(_pieces(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string").cast("binary")), tokenizer, window, end))
-    stats = _statistics(pieces)
+    stats, kind = _statistics(pieces), narrow(tokenizer, end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -262,7 +373,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
             for row in rows:
                 offset = 0
                 for doc, start, ids, total in row:
-                    for c, x in zip(cols, (doc, start, len(ids), ids.tobytes(), total, seq, offset), strict=True):
+                    for c, x in zip(cols, (doc, start, len(ids), ids.astype("<u4").tobytes(), total, seq, offset), strict=True):
                         c.append(x)
                     offset += len(ids)
                 seq += 1
@@ -272,13 +383,13 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
 
         full: list[list[tuple]] = []
         for b in batches:
-            for doc, start, ids, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                ids = np.frombuffer(ids, "<u4")
-                held += len(ids)
-                if len(ids) < window:
-                    pool.append([doc, start, ids, n])
+            for doc, start, ids, n, *whole in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if ids is not None:
+                    pool.append([doc, start, np.frombuffer(ids, kind), n])
+                    held += len(pool[-1][2])
                 else:
-                    full.append([(doc, start, ids, n)])
+                    full.append([(doc, start, np.frombuffer(whole[0], "<u4"), n)])
+                    held += window
                 if held >= shard_tokens:
                     rows, pool = _pack_shard(pool, window, False, stats)
                     yield from emit(full + rows)
@@ -286,9 +397,11 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
         rows, _ = _pack_shard(pool, window, True, stats)
         yield from emit(full + rows)
 
+    columns = ["doc_id", "start", "ids", "doc_tokens"]
     if not gather:
-        return pieces.mapInArrow(run, SCHEMA)
-    whole = F.length("ids") == 4 * window
-    # full windows stay where they are; their ids have bit 39 set
-    full = pieces.where(whole).mapInArrow(run, SCHEMA).withColumn("sequence_id", F.col("sequence_id").bitwiseOR(F.lit(1 << 39)))
-    return full.unionByName(_gathered(pieces.where(~whole), stats).mapInArrow(run, SCHEMA))
+        return pieces.where("stats IS NULL").select(*columns, "full").mapInArrow(run, SCHEMA)
+    # full windows stay where they are; their sequences have bit 39 set
+    place = F.spark_partition_id().cast("long") * F.lit(1 << 40) + F.lit(1 << 39) + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    zero = F.lit(0).cast("long")
+    full = pieces.where("full IS NOT NULL").select("doc_id", "start", F.lit(window).cast("long").alias("length"), F.col("full").alias("ids"), "doc_tokens", place.alias("sequence_id"), zero.alias("offset"))
+    return full.unionByName(_gathered(pieces.where("ids IS NOT NULL").select(*columns), stats, kind, shard_tokens).mapInArrow(run, SCHEMA))

@@ -2,7 +2,7 @@
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -89,14 +89,33 @@ def test_index_finds_the_best():
     r = np.random.default_rng(0)
     pieces = [r.integers(0, 200, 50).astype("<u4") for _ in range(80)]
     pieces[7] = np.concatenate([pieces[3][:40], pieces[7][:10]])
-    assert packing.Index(pieces).neighbours(3)[0] == 7 and packing.Index(pieces).neighbours(7)[0] == 3
+    assert next(packing.Index(pieces).neighbours(3)) == 7 and next(packing.Index(pieces).neighbours(7)) == 3
+
+
+def test_neighbours_equal_plain_bm25():
+    r = np.random.default_rng(3)
+    pieces = [np.concatenate([r.integers(0, 12, 20), r.integers(12, 4000, r.integers(1, 60))]).astype("<u2") for _ in range(150)]
+    pieces += [pieces[0], pieces[0], np.array([4001], "<u2")]
+    n, mean = len(pieces), sum(map(len, pieces)) / len(pieces)
+    idf = {t: np.log1p((n - k + 0.5) / (k + 0.5)) for t, k in Counter(t for p in pieces for t in set(p.tolist())).items()}
+    index = packing.Index(pieces)
+    for i in (0, 5, 150, 152):
+        score = []
+        for j, p in enumerate(pieces):
+            tf = Counter(p.tolist())
+            score.append(sum(idf[t] * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(p) / mean)) for t in set(pieces[i].tolist()) if t in tf))
+        assert np.allclose(index.scores(i), score)
+        got = list(index.neighbours(i))
+        assert sorted(got) == [j for j in range(n) if j != i and score[j] > 0] and got == list(index.neighbours(i, first=n))
+        assert all(score[a] >= score[b] - 1e-9 for a, b in zip(got, got[1:]))
+    assert list(index.neighbours(0))[:2] == [150, 151]  # equal scores in order of place
 
 
 def test_all_terms_of_all_copies_count():
     r = np.random.default_rng(4)
     copy, rest = r.integers(0, 300, 60).astype("<u4"), [r.integers(1000, 40_000, 60).astype("<u4") for _ in range(60)]
     pieces = [copy if i % 2 else rest[i // 2] for i in range(120)]  # half of the shard
-    assert set(packing.Index(pieces).neighbours(1).tolist()) == set(range(3, 120, 2))
+    assert set(packing.Index(pieces).neighbours(1)) == set(range(3, 120, 2))
     # a neighbour that shares only the weakest of many terms
     strong, other = np.arange(100, 140).astype("<u4"), np.arange(300, 340).astype("<u4")
     pieces = [np.concatenate([np.repeat(strong, 5), [9]]).astype("<u4"), np.concatenate([other, [9]]).astype("<u4"), np.repeat(strong, 5), *([other] * 3)]
@@ -119,5 +138,5 @@ def test_like_documents_meet_wherever_they_stand(spark):
 def test_frequencies_are_of_the_whole_corpus(spark):
     docs = [(i, f"common word{i % 7}") for i in range(70)]
     pieces = packing._pieces(spark.createDataFrame(docs, "doc_id long, text string").selectExpr("doc_id", "cast(text AS binary)").repartition(5), PATH, 2048, 1)
-    got, want = packing._statistics(pieces), packing.Statistics.of([np.frombuffer(r.ids, "<u4") for r in pieces.collect()])
+    got, want = packing._statistics(pieces), packing.Statistics.of([np.frombuffer(r.ids, "<u2") for r in pieces.where("ids IS NOT NULL").collect()])
     assert got.n == want.n == 70 and got.mean == want.mean and np.array_equal(got.idf, want.idf)
