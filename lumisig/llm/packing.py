@@ -14,11 +14,12 @@ import functools
 import os
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,31 +89,45 @@ class WordEncoder:
         known.update((w, known[a] + known[b]) for w, (a, b) in cores.items())
 
     def __call__(self, text: bytes) -> bytes:
-        return next(self.each([text]))
-
-    def each(self, texts: Iterable[bytes], most_bytes: int = 1 << 22) -> Iterator[bytes]:
-        """Ids of each text in turn; the words of some ``most_bytes`` of text are learned at once."""
-        held: list[bytes | list[bytes]] = []
-        size = 0
-        for text in texts:
-            held.append(text if b"<|" in text else text.lower().split())
-            size += len(text)
-            if size >= most_bytes:
-                yield from self._flush(held)
-                held, size = [], 0
-        yield from self._flush(held)
-
-    def _flush(self, held: list[bytes | list[bytes]]) -> Iterator[bytes]:
-        words = set().union(*(x for x in held if x.__class__ is list))
-        new = words.difference(self.known)
+        return next(self.each(pa.array([text]).cast(pa.string()))).tobytes()
+
+    def each(self, texts: pa.Array, most_bytes: int = 1 << 23) -> Iterator[np.ndarray]:
+        """Ids of each of the texts (strings; null is empty) in turn, by blocks of some ``most_bytes``.
+
+        A block's words are told apart by Arrow; only its different words pass through Python.
+        """
+        texts = pc.fill_null(texts, "")
+        end = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + most_bytes, "right")))
+            yield from self._block(texts.slice(at, stop - at))
+            at = stop
+
+    def _block(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        special = pc.match_substring(texts, "<|")
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(special, "", texts)))
+        words = lists.flatten().dictionary_encode()
+        unique = words.dictionary.cast(pa.binary()).to_pylist()
+        new = set(unique).difference(self.known)
         if new:
             if len(self.known) > self.most:
                 self.older, self.known = self.known, {}
-                new = words
+                new = set(unique)
             self._learn(new)
-        get = self.known.__getitem__
-        for x in held:
-            yield b"".join(map(get, x)) if x.__class__ is list else self._encode([x.decode()])[0]
+        ids = list(map(self.known.__getitem__, unique))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        ids = np.frombuffer(b"".join(ids), "<u4")
+        first = np.cumsum(size) - size
+        word = words.indices.to_numpy(zero_copy_only=False)
+        n = size[word]
+        after = np.cumsum(n)
+        out = ids[np.arange(after[-1] if len(after) else 0) + np.repeat(first[word] - (after - n), n)]
+        ends = np.concatenate(([0], after))[np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))]
+        start = 0
+        for i, (stop, whole) in enumerate(zip(ends.tolist(), special.to_pylist(), strict=True)):
+            yield np.frombuffer(self._encode([texts[i].as_py()])[0], "<u4") if whole else out[start:stop]
+            start = stop
 
 
 @functools.lru_cache(maxsize=2)
@@ -240,7 +255,7 @@ def _pieces(docs: DataFrame, tokenizer: str, window: int, end: int) -> DataFrame
     kind = narrow(tokenizer, end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last = encoder(tokenizer), np.array([end], "<u4").tobytes()
+        encode, last = encoder(tokenizer), np.array([end], "<u4")
         df, n, size = np.zeros(1 << 16, np.int64), 0, 0
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
@@ -250,9 +265,8 @@ def _pieces(docs: DataFrame, tokenizer: str, window: int, end: int) -> DataFrame
 
         for b in batches:
             rows, terms, held = [], [], 0
-            texts = (text.as_py() or b"" for text in b.column(1))
-            for doc, ids in zip(b.column(0).to_pylist(), encode.each(texts), strict=True):
-                ids = np.frombuffer(ids + last, "<u4")
+            for doc, ids in zip(b.column(0).to_pylist(), encode.each(b.column(1)), strict=True):
+                ids = np.append(ids, last)
                 n, size, total = n + -(-len(ids) // window), size + len(ids), len(ids)
                 for i in range(0, total, window):
                     part = ids[i : i + window]
@@ -317,7 +331,7 @@ def _gathered(pieces: DataFrame, stats: Statistics, kind: str, shard_tokens: int
     spark = pieces.sparkSession
     tokens = stats.n * stats.mean
     # a few shards a task, so that few sequences are short; more tasks than the session has for shuffles only for large tables
-    n = int(max(1, min(tokens // (4 * shard_tokens), int(spark.conf.get("spark.sql.shuffle.partitions"))), tokens // (16 * shard_tokens)))
+    n = int(max(1, min(tokens // (6 * shard_tokens), int(spark.conf.get("spark.sql.shuffle.partitions"))), tokens // (16 * shard_tokens)))
     least = -(1 << 63)
 
     def keys(b: pa.RecordBatch) -> list[tuple[int, int, int]]:
@@ -358,7 +372,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
     is run again gives the same ids. Without ``gather`` pieces stay in the tasks and order in which
     they are read, for callers whose order means something.
     """
-    pieces = materialize(_pieces(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string").cast("binary")), tokenizer, window, end))
+    pieces = materialize(_pieces(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), tokenizer, window, end))
     stats, kind = _statistics(pieces), narrow(tokenizer, end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -137,6 +137,6 @@ def test_like_documents_meet_wherever_they_stand(spark):
 
 def test_frequencies_are_of_the_whole_corpus(spark):
     docs = [(i, f"common word{i % 7}") for i in range(70)]
-    pieces = packing._pieces(spark.createDataFrame(docs, "doc_id long, text string").selectExpr("doc_id", "cast(text AS binary)").repartition(5), PATH, 2048, 1)
+    pieces = packing._pieces(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), PATH, 2048, 1)
     got, want = packing._statistics(pieces), packing.Statistics.of([np.frombuffer(r.ids, "<u2") for r in pieces.where("ids IS NOT NULL").collect()])
     assert got.n == want.n == 70 and got.mean == want.mean and np.array_equal(got.idf, want.idf)
