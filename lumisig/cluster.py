@@ -33,9 +33,25 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new name in the shared folder that ``spark.checkpoint.dir`` names, or in the fallback where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or FALLBACK_SCRATCH
-    return f"{base.rstrip('/')}/lumisig-{uuid.uuid4().hex}"
+    """A new name in the shared folder that ``spark.checkpoint.dir`` names; in local mode, where that is unset, in the fallback."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir")
+    if not base and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    path = f"{(base or FALLBACK_SCRATCH).rstrip('/')}/lumisig-{uuid.uuid4().hex}"
+    sc._lumisig_scratch = [*getattr(sc, "_lumisig_scratch", ()), path]
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete what this application has written for itself, once its results are no longer needed; returns how many tables."""
+    sc = spark.sparkContext
+    paths = getattr(sc, "_lumisig_scratch", ())
+    for x in paths:
+        p = sc._jvm.org.apache.hadoop.fs.Path(x)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    sc._lumisig_scratch = []
+    return len(paths)
 
 
 def materialize(df: DataFrame) -> DataFrame:

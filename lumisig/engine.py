@@ -99,8 +99,8 @@ class Engine:
         self.store.publish(state, cursor, self.g)
         return cursor
 
-    def live(self) -> tuple[DataFrame, DataFrame]:
-        """Live images and census: the snapshot's stored ones, less what later events change and with what they add.
+    def live(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Live images, census and posting lists: the snapshot's stored ones, less what later events change and with what they add.
 
         Slots follow the posts' ids in the snapshot, and come after all of them for later events.
         """
@@ -109,14 +109,14 @@ class Engine:
         later = feed.latest_state(tail, "post_id", PAYLOAD).withColumn("slot", F.col("seq") + F.lit(1 << 32))
         new = index.live(later, self.g)
         if stored is None:
-            return new, index.census(new)
-        alive, counted = stored
+            return new, index.census(new), index.postings(new)
+        alive, counted, posts = stored
         if tail.isEmpty():
-            return alive, counted
+            return stored
         changed = tail.select("post_id").distinct()
         gone = alive.join(changed, "post_id", "left_semi")
-        sums = counted.unionByName(index.census(new)).unionByName(index.census(gone).withColumn("images", -F.col("images")))
-        return alive.join(changed, "post_id", "left_anti").unionByName(new), sums.groupBy("bucket").agg(F.sum("images").alias("images"))
+        kept = lambda d: d.join(changed, "post_id", "left_anti")
+        return kept(alive).unionByName(new), index.later(counted, new, gone), kept(posts).select("bucket", "post_id", "slot").unionByName(index.postings(new))
 
     def get(self, keys: DataFrame) -> DataFrame:
         """(post_id, hash): null where there is no such image."""
@@ -127,8 +127,8 @@ class Engine:
     def query(self, queries: DataFrame, limit: int | None = None, min_score: float | None = None, kernel: str = "scan") -> DataFrame:
         """(query_id, rank, post_id, score, hash) of the images most similar to ``queries`` (query_id, avglf1..3, sig)."""
         limit = scoring.limit_of(limit)
-        alive, counted = self.live()
-        found = scoring.similar(alive, queries, limit, min_score, kernel, counted, self.g)
+        alive, counted, posts = self.live()
+        found = scoring.similar(alive, queries, limit, min_score, kernel, counted, self.g, posts)
         return found.join(self.get(found.select("post_id").distinct()), "post_id").select("query_id", "rank", "post_id", "score", "hash")
 
     def query_one(self, hash: str | None = None, channels: tuple | None = None, post_id: int | None = None, limit: int | None = None, min_score: float | None = None) -> list[dict]:

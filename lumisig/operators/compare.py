@@ -32,3 +32,9 @@ def verdicts(oracle: DataFrame, subject: DataFrame, epsilon: float = EPSILON) ->
 def report(judged: DataFrame) -> DataFrame:
     """(queries, failed, max_delta)."""
     return judged.agg(F.count("*").alias("queries"), F.count_if(~F.col("ok")).alias("failed"), F.coalesce(F.max("max_delta"), F.lit(0.0)).alias("max_delta"))
+
+
+def write_report(judged: DataFrame, path: str) -> None:
+    """The verdicts and their report as JSON: ``path/verdicts``, a line a query, and ``path/report``, one line."""
+    judged.write.mode("overwrite").json(f"{path}/verdicts")
+    report(judged.sparkSession.read.schema(judged.schema).json(f"{path}/verdicts")).coalesce(1).write.mode("overwrite").json(f"{path}/report")

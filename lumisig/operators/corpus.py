@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..cluster import numbered
@@ -16,12 +18,10 @@ def shuffled(key: Column, seed: int) -> Column:
 
 
 def stratified(rows: DataFrame, n: int, seed: int, key: str, kind: str = "kind") -> DataFrame:
-    """A sample of each kind: its budget, one at least; kinds without rows are left out."""
-    budget = F.lit(None)
-    for name, part in BUDGETS.items():
-        budget = F.when(F.col(kind) == name, max(n // part, 1)).otherwise(budget)
-    w = Window.partitionBy(kind).orderBy(shuffled(F.col(key), seed), key)
-    return rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= budget).drop("__n")
+    """A sample of each kind: its budget, one at least; kinds without rows are left out. Each task sends its first rows of a kind only."""
+    order = shuffled(F.col(key), seed)
+    parts = [rows.where(F.col(kind) == name).orderBy(order, key).limit(max(n // part, 1)) for name, part in BUDGETS.items()]
+    return reduce(DataFrame.unionAll, parts)
 
 
 def systematic(rows: DataFrame, n: int, key: str) -> DataFrame:

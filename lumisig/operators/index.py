@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec, haar
@@ -45,6 +45,18 @@ def write(images: DataFrame, path: str, g: Geometry = FULL) -> None:
     census(kept).coalesce(1).write.mode("overwrite").parquet(f"{path}/census")
 
 
+def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Live images, census and posting lists as they were stored."""
+    live_, counted, posts = (spark.read.parquet(f"{path}/{name}") for name in ("live", "census", "postings"))
+    return live_, counted, posts
+
+
+def later(counted: DataFrame, added: DataFrame, gone: DataFrame) -> DataFrame:
+    """A census after images were ``added`` and others are ``gone``, without counting the rest again."""
+    sums = counted.unionByName(census(added)).unionByName(census(gone).withColumn("images", -F.col("images")))
+    return sums.groupBy("bucket").agg(F.sum("images").alias("images"))
+
+
 def stats(slots: DataFrame) -> DataFrame:
     """(live, tombstones, chunks, tombstone_ratio) of ``slots`` (slot, dead boolean)."""
     n, dead = F.count("*"), F.coalesce(F.sum(F.col("dead").cast("long")), F.lit(0))
@@ -55,5 +67,6 @@ def stats(slots: DataFrame) -> DataFrame:
 
 
 def broken(alive: DataFrame, counted: DataFrame) -> DataFrame:
-    """Rows by which a stored census differs from the images: empty where the index is sound."""
-    return census(alive).exceptAll(counted).unionAll(counted.exceptAll(census(alive)))
+    """Rows by which a kept census differs from the images: empty where the index is sound. A bucket without images counts as absent."""
+    kept, anew = counted.where("images <> 0"), census(alive)
+    return anew.exceptAll(kept).unionAll(kept.exceptAll(anew))

@@ -8,8 +8,10 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import materialize, scratch_dir, ship
 from ..functions import codec, haar
 from ..operators import compare, corpus, feed, index, metrics, scoring, sync
+from ..sources import files
 from ..schema import LEVEL, WEIGHTS
 from . import planes
 from .planes import SMALL, images, log, table
@@ -183,10 +185,14 @@ def census(spark, sf_dir):
     return index.census(index.live(images(spark, sf_dir), SMALL))
 
 
-@query(f"WITH {TERMS} SELECT bucket, count(*) AS images FROM posts GROUP BY bucket HAVING count(*) < 0")
+@query(f"""WITH {TERMS}, n AS (SELECT bucket, count(*) AS images FROM posts WHERE vec_id % 5 <> 0 GROUP BY bucket HAVING bucket % 100 = 7)
+    SELECT bucket, images FROM n UNION ALL SELECT bucket, images + 1 FROM n""")
 def index_invariants(spark, sf_dir):
-    alive = index.live(images(spark, sf_dir), SMALL)
-    return index.broken(alive, index.census(alive))
+    """A census kept through inserts and deletes against one made anew: only what is broken on purpose, in every hundredth bucket, differs."""
+    every = materialize(index.live(images(spark, sf_dir), SMALL))
+    third, fifth = F.pmod("post_id", F.lit(3)) == 1, F.pmod("post_id", F.lit(5)) == 0
+    kept = index.later(index.census(every.where(~third)), every.where(third), every.where(fifth))
+    return index.broken(every.where(~fifth), kept.withColumn("images", F.col("images") + (F.pmod("bucket", F.lit(100)) == 7).cast("int") * (F.col("images") > 0).cast("int")))
 
 
 @query("""WITH e AS (SELECT *, max(event_id) OVER (PARTITION BY user_id) AS last FROM events),
@@ -228,7 +234,10 @@ def similar_batch_fold(spark, sf_dir):
 
 @query(f"WITH {_search('vec_id % 50 = 0')} {_OUT}")
 def similar_batch_join(spark, sf_dir):
-    return _similar(spark, sf_dir, BATCH, "join")
+    every, path = images(spark, sf_dir), scratch_dir(spark)
+    index.write(every, path, SMALL)
+    alive, counted, posts = index.read(spark, path)
+    return _found(scoring.similar(alive, _asked(every, BATCH), kernel="join", g=SMALL, counted=counted, posts=posts))
 
 
 @query(f"WITH {_search('vec_id % 50 = 0')} {_OUT} WHERE score >= CAST(40 AS FLOAT)")
@@ -265,8 +274,8 @@ def scale_per_query(spark, sf_dir):
 
 @query(f"WITH {_search('TRUE', limit=None)} SELECT query_id, post_id, CAST(score AS DOUBLE) AS score FROM best WHERE query_id <> post_id AND score >= CAST(50 AS FLOAT)")
 def near_duplicate_pairs(spark, sf_dir):
-    every = images(spark, sf_dir)
-    found = scoring.pairs(index.live(every, SMALL), every.withColumnRenamed("post_id", "query_id"), 50.0, SMALL)
+    every = materialize(images(spark, sf_dir))
+    found = scoring.pairs(materialize(index.live(every, SMALL)), every.withColumnRenamed("post_id", "query_id"), 50.0, SMALL)
     return found.select("query_id", "post_id", F.col("score").cast("double").alias("score"))
 
 
@@ -297,7 +306,14 @@ def codec_round_trip(spark, sf_dir):
     return d.select("post_id", same.alias("same"))
 
 
-@query()
+def _bits(v: str) -> str:
+    """DuckDB SQL of a normal or zero double's 64 bits as hex digits."""
+    e = f"(floor(log2(abs({v}))) + CASE WHEN abs({v}) >= pow(2.0, floor(log2(abs({v}))) + 1) THEN 1 WHEN abs({v}) < pow(2.0, floor(log2(abs({v})))) THEN -1 ELSE 0 END)"
+    whole = f"CAST((abs({v}) / pow(2.0, {e}) - 1) * 4503599627370496 AS UBIGINT) + CAST(({e} + 1023) AS UBIGINT) * 4503599627370496"
+    return f"CASE WHEN {v} = 0 THEN repeat('0', 16) ELSE lpad(lower(to_hex({whole} + CASE WHEN {v} < 0 THEN CAST(9223372036854775808 AS UBIGINT) ELSE CAST(0 AS UBIGINT) END)), 16, '0') END"
+
+
+@query(f"WITH {SIGS}, p AS (SELECT vec_id AS post_id, {_bits('a1')} AS bits FROM means) SELECT post_id, bits, bits = repeat('0', 16) AS black FROM p")
 def dc_prefix(spark, sf_dir):
     return _hashes(spark, sf_dir).select("post_id", codec.dc_prefix(F.col("h")).alias("bits"), (codec.dc_prefix(F.col("h")) == "0" * 16).alias("black"))
 
@@ -526,3 +542,94 @@ def query_precedence(spark, sf_dir):
     k = F.col("vec_id")
     given = lambda n: F.when(F.pmod(k, F.lit(n)) == 0, F.lit("x"))
     return table(spark, sf_dir, "embeddings").select(k.alias("post_id"), input_kind(given(2), given(3), given(5)).alias("kind"))
+
+
+@query("""SELECT event_type, le, count(*) FILTER (value <= CASE le WHEN '+Inf' THEN CAST('Infinity' AS DOUBLE) ELSE CAST(le AS DOUBLE) END) AS total
+    FROM events, (SELECT unnest(['0.5', '5', '50', '+Inf']) AS le) GROUP BY event_type, le""")
+def duration_histogram(spark, sf_dir):
+    return metrics.histogram(table(spark, sf_dir, "events"), "value", [0.5, 5.0, 50.0], "event_type")
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, count(*) / CAST(60 AS DOUBLE) AS per_second FROM events")
+def call_throughput(spark, sf_dir):
+    return metrics.throughput(table(spark, sf_dir, "events").select((F.col("event_type") == "error").alias("failed")), 60)
+
+
+# ---- files, full size, and the engine as a whole ----------------------------------------------
+
+
+@query("SELECT event_id AS seq, CAST(CASE WHEN event_type = 'error' THEN 2 ELSE 1 END AS INTEGER) AS op, user_id AS key, CASE WHEN event_type <> 'error' THEN value END AS value FROM events")
+def event_decode(spark, sf_dir):
+    rows = log(spark, sf_dir).withColumn("value", F.when(F.col("op") == 1, F.col("value")))
+    return feed.decoded(rows, ["value"]).select("seq", F.col("op").cast("int").alias("op"), "key", "value")
+
+
+#: SHA-1 of the recorded hashes of the 30 synthetic images, 128 x 128 pixels and 40 coefficients a channel.
+RECORDED = """
+    62b916f39a373253918b5662e382aeef80e1b473 4ad8464bf9802961f46c6e2564a1ee60583e1493 a36a2e8e1993c928224d98af151b087596094b72
+    f6e27800dc1ad012ad2c1dd058af59fa89ad9702 d4d647960b776d33ec1c118624424ad78e0a05d5 e3360703c34a3710e0f53f7d850f9b6790677f00
+    b7c3322668c394c211faae1fc622192d856c895c 286aa82f8628e100f3dfb905c18d13b808e1b34f d1f9187f5d17c0cd016059fbb71956eac5fcbe78
+    07dc20f195ceb188216b9ae65ebf50f5e6faf2ed 4b8d73c223c40219bddef42fd61e7ced0137a410 2954dc3bf680746128f2e7ad955b68fc65e2b933
+    0d6e712d52e1f72e4bdee0f788b9fbc36296ca7a 382043a3ca0dd7f5a51f44849d54b5626d6ab2c0 a4cbea04a0825b90f78a761acc4253366ae41628
+    0f736cf768dceb79be759658cd68d87135db8a2a 92df5b56a3d89709e07e3c2247d904f89299697b a81a1970c0304e2df1ed9f7d26bd6f06624272e7
+    66145337b0e32ecdcb783182d28c2cc6876614f5 b406b0373818842e6c57e311e14ea025058730e7 5f63e9ac854c9557ef03b3c72ae888ec36944ef1
+    b071678121a0ce7bfd9ebefeda977e386422f647 e856a18460dc6b8e20d34fd4d35f0855112d82cf 2165266aeec0df63e64a5e3599e0fd3cb460fcd6
+    b516b7103770de9f466f080fa1fbf84e7196f6d9 045456f9477ae01ce7a7389c48e487565d302225 cedebac8a3be2f2db083f10b343b8ac89e58912a
+    c23dc40632d0aa302e6be7d4fa0ec6c0c9256170 e6c48cadda164cd56b744f2acec6f1deb8acf044 bf7e4f2628e85911963337eef4361d0cbd3ebb70
+""".split()
+
+
+@query("SELECT 'synthetic_' || (i - 1) AS kind, digest FROM (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(RECORDED, 1)) + ") t(i, digest)")
+def full_size_hashes(spark, sf_dir):
+    return files.synthetic_corpus(ship(spark)).select("kind", F.sha1(F.col("hash").cast("binary")).alias("digest"))
+
+
+@query(f"""WITH {SIGS}, h AS (SELECT vec_id, string_agg(lpad(lower(to_hex((coef + 65536) % 65536)), 4, '0'), '' ORDER BY ch, coef) AS c FROM coefs GROUP BY vec_id)
+    SELECT {_bits('a1')} || {_bits('a2')} || {_bits('a3')} || c AS hash, CASE WHEN gray THEN 'grayscale' ELSE 'other' END AS kind FROM flags JOIN h USING (vec_id)""")
+def corpus_round_trip(spark, sf_dir):
+    """Hashes written and read back as JSON lines."""
+    path = scratch_dir(spark)
+    gray = haar.is_grayscale(F.col("avglf2"), F.col("avglf3"))
+    files.write_corpus(images(spark, sf_dir).select(codec.encode_hash(F.array("avglf1", "avglf2", "avglf3"), F.col("coefs"), SMALL).alias("hash"), F.when(gray, "grayscale").otherwise("other").alias("kind")), path)
+    return files.read_corpus(spark, path)
+
+
+@query(f"""WITH {SIGS}, s AS (SELECT vec_id, string_agg(lpad(lower(to_hex(((coef + 65536) % 65536) % 256)), 2, '0') || lpad(lower(to_hex(((coef + 65536) % 65536) // 256)), 2, '0'), '' ORDER BY ch, coef) AS c FROM coefs GROUP BY vec_id)
+    SELECT '0005' || '00000004' || lpad(lower(to_hex(vec_id)), 8, '0') || '00000008' || {_bits('a1')} || '00000008' || {_bits('a2')} || '00000008' || {_bits('a3')} || '00000060' || c AS row FROM means JOIN s USING (vec_id)""")
+def copy_row_bytes(spark, sf_dir):
+    d = images(spark, sf_dir).withColumn("sig", codec.encode_blob(F.col("coefs"), SMALL)).withColumn("post_id", F.col("post_id").cast("int"))
+    return files.copy_rows(d).select(F.lower(F.hex("row")).alias("row"))
+
+
+def _engine(spark, sf_dir):
+    """An engine on the small images: loaded with the even ids, the odd ones written, and every fifth removed by events."""
+    from ..engine import Engine
+
+    e = Engine(spark, scratch_dir(ship(spark)), SMALL)
+    d = images(spark, sf_dir).select(F.col("post_id").cast("int").alias("post_id"), "avglf1", "avglf2", "avglf3", codec.encode_blob(F.col("coefs"), SMALL).alias("sig"))
+    odd, fifth = F.pmod("post_id", F.lit(2)) == 1, F.pmod("post_id", F.lit(5)) == 0
+    e.full_load(d.where(~odd))
+    e.upsert_signatures(d.where(odd), _now())
+    e.delete(d.where(fifth).select("post_id"), _now())
+    return e
+
+
+@query(f"WITH {TERMS} SELECT bucket, count(*) AS images FROM posts WHERE vec_id % 5 <> 0 GROUP BY bucket")
+def index_bulk_build(spark, sf_dir):
+    """The stored posting lists' sizes after a load, events and a compaction."""
+    e = _engine(spark, sf_dir)
+    e.compact()
+    return e.live()[2].groupBy("bucket").agg(F.count("*").alias("images"))
+
+
+@query(f"""WITH {TERMS} SELECT bucket, count(*) AS images FROM posts WHERE vec_id % 5 <> 0 GROUP BY bucket""")
+def index_after_events(spark, sf_dir):
+    """The census that is kept through events, without a compaction."""
+    return _engine(spark, sf_dir).live()[1].where("images <> 0")
+
+
+@query("""WITH n AS (SELECT count(*) AS every, count(*) FILTER (vec_id % 2 = 0) AS even, count(*) FILTER (vec_id % 2 = 1) AS odd, count(*) FILTER (vec_id % 5 = 0) AS fifth FROM embeddings)
+    SELECT unnest(['lumisig_live ' || CAST(CAST(every - fifth AS DOUBLE) AS VARCHAR), 'lumisig_cursor ' || CAST(CAST(1 + odd + fifth AS DOUBLE) AS VARCHAR), 'lumisig_horizon 1.0',
+      'lumisig_writes_total{op="upsert"} ' || odd, 'lumisig_writes_total{op="delete"} ' || fifth]) AS line FROM n""")
+def status_gauges(spark, sf_dir):
+    return _engine(spark, sf_dir).metrics(_now()).where(F.col("line").rlike("^lumisig_(live|cursor|horizon|writes_total)\\b"))

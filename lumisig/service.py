@@ -66,8 +66,8 @@ def read(engine: Engine, requests: DataFrame) -> DataFrame:
 def answer(engine: Engine, requests: DataFrame, kernel: str = "scan") -> DataFrame:
     """(query_id, status, body): a JSON array of {post_id, score, hash}, best first, or {error}."""
     asked = read(engine, requests)
-    alive, counted = engine.live()
-    best = scoring.similar(alive, asked.where("status = 200"), MAX_LIMIT, None, kernel, counted, engine.g)
+    alive, counted, posts = engine.live()
+    best = scoring.similar(alive, asked.where("status = 200"), MAX_LIMIT, None, kernel, counted, engine.g, posts)
     best = best.join(asked.select("query_id", "limit", F.col("min_score").cast("float").alias("least")), "query_id")
     best = best.where((F.col("rank") <= F.col("limit")) & (F.col("least").isNull() | (F.col("score") >= F.col("least"))))
     best = best.join(engine.get(best.select("post_id").distinct()), "post_id")

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec, haar
-from ..schema import CORPUS, Geometry
+from ..schema import CORPUS, FULL, Geometry
+from . import synthetic
 
 
 def write_corpus(entries: DataFrame, path: str) -> None:
@@ -37,6 +40,20 @@ def build_corpus(images: DataFrame, n: int, seed: int, g: Geometry) -> DataFrame
     return chosen.select(codec.encode_hash(F.array("avglf1", "avglf2", "avglf3"), coefs, g).alias("hash"), "kind")
 
 
+def synthetic_corpus(spark: SparkSession) -> DataFrame:
+    """(hash, kind) of the synthetic test images, at full size: ``synthetic_0`` and so on."""
+
+    @F.arrow_udf("string")
+    def hashes(n: pa.Array) -> pa.Array:
+        out = []
+        for i in n.to_pylist():
+            means, sig = haar.signatures(np.stack([c.astype(float) for c in synthetic.case(i)])[None], FULL)
+            out.append(codec.to_hash(means[0], sig[0]))
+        return pa.array(out)
+
+    return spark.range(synthetic.CASES).select(hashes("id").alias("hash"), F.concat(F.lit("synthetic_"), F.col("id").cast("string")).alias("kind"))
+
+
 # Fixed values of PostgreSQL's binary COPY format.
 COPY_HEADER = b"PGCOPY\n\xff\r\n\0" + struct.pack(">ii", 0, 0)
 COPY_TRAILER = struct.pack(">h", -1)
@@ -56,3 +73,11 @@ def copy_rows(images: DataFrame) -> DataFrame:
         return pa.array([copy_row(*r) for r in zip(*(c.to_pylist() for c in columns), strict=True)], pa.binary())
 
     return images.select(run("post_id", "avglf1", "avglf2", "avglf3", "sig").alias("row"))
+
+
+def copy_stream(images: DataFrame) -> Iterator[bytes]:
+    """A whole COPY stream: header, rows as they come, trailer. A partition is held at a time."""
+    yield COPY_HEADER
+    for r in copy_rows(images).toLocalIterator():
+        yield bytes(r["row"])
+    yield COPY_TRAILER

@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import sqlite3
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+# Columns of the legacy table.
 SCHEMA = "post_id int, avglf1 double, avglf2 double, avglf3 double, sig binary"
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
@@ -64,12 +66,13 @@ class SqliteImages(DataSource):
         return _Reader(dict(self.options))
 
 
-def write(rows: DataFrame, path: str, most: int = 1_000_000) -> int:
-    """Write a bounded table (``most`` rows) as a SQLite file on the driver; returns how many rows."""
-    if rows.count() > most:
-        raise ValueError(f"more than {most} rows for one file")
+def write(rows: DataFrame, path: str) -> int:
+    """Write a table as one SQLite file on the driver, a partition at a time; returns how many rows."""
+    n = 0
     with sqlite3.connect(path) as db:
         db.execute("CREATE TABLE images (id INTEGER PRIMARY KEY, post_id INTEGER UNIQUE, avglf1 REAL, avglf2 REAL, avglf3 REAL, sig BLOB)")
-        for n, r in enumerate(rows.select(*COLUMNS).orderBy("post_id").toLocalIterator(), 1):
-            db.execute("INSERT INTO images (post_id, avglf1, avglf2, avglf3, sig) VALUES (?, ?, ?, ?, ?)", (*r[:4], bytes(r[4])))
-        return n if rows.head(1) else 0
+        ordered = rows.select(*COLUMNS).orderBy("post_id").toLocalIterator()
+        while part := [(*r[:4], bytes(r[4])) for r in islice(ordered, 10_000)]:
+            db.executemany("INSERT INTO images (post_id, avglf1, avglf2, avglf3, sig) VALUES (?, ?, ?, ?, ?)", part)
+            n += len(part)
+    return n

@@ -22,53 +22,82 @@ PAYLOAD = ["avglf1", "avglf2", "avglf3", "sig"]
 
 
 class Follower:
-    """State in ``path``: a Parquet table for each cursor reached, of which the newest finished one counts."""
+    """State in ``path``: a base table, and for each batch of events since a small table of what it changed.
 
-    def __init__(self, spark: SparkSession, store: Store, path: str, batch: int = 10_000):
-        self.spark, self.store, self.path, self.batch = spark, store, path.rstrip("/"), batch
+    ``base-<cursor>`` and ``delta-<after>-<cursor>`` count once they are finished. A batch takes ``batch`` events at most;
+    after ``deltas`` of them the state is written anew as the base, and what that replaces is removed.
+    """
+
+    def __init__(self, spark: SparkSession, store: Store, path: str, batch: int = 10_000, deltas: int = 16):
+        self.spark, self.store, self.path, self.batch, self.deltas = spark, store, path.rstrip("/"), batch, deltas
         self.updated = 0.0
 
-    def _reached(self) -> list[int]:
+    def _parts(self) -> tuple[int | None, list[tuple[int, int]]]:
+        """The newest base's cursor, and the batches (after, cursor) applied since, in order."""
         fs, p = self.store._fs(self.path)
-        if not fs.exists(p):
-            return []
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        names = [s.getPath().getName() for s in fs.listStatus(p) if fs.exists(path(s.getPath(), "_SUCCESS"))]
-        return sorted(int(n) for n in names if n.isdigit())
+        names = [s.getPath().getName() for s in fs.listStatus(p) if fs.exists(path(s.getPath(), "_SUCCESS"))] if fs.exists(p) else []
+        bases = [int(n[5:]) for n in names if n.startswith("base-")]
+        if not bases:
+            return None, []
+        steps = dict(tuple(map(int, n[6:].split("-"))) for n in names if n.startswith("delta-"))
+        at, chain = max(bases), []
+        while at in steps:
+            chain.append((at, steps[at]))
+            at = steps[at]
+        return max(bases), chain
 
     def cursor(self) -> int | None:
         """How far the state is complete; None before it is loaded."""
-        return max(self._reached(), default=None)
+        base, chain = self._parts()
+        return chain[-1][1] if chain else base
 
     def state(self) -> DataFrame:
         """(post_id, seq, avglf1..3, sig)."""
-        return self.spark.read.schema(STATE).parquet(f"{self.path}/{self.cursor()}")
+        base, chain = self._parts()
+        rows = self.spark.read.schema(STATE).parquet(f"{self.path}/base-{base}")
+        if not chain:
+            return rows
+        changes = self.spark.read.schema(EVENTS).parquet(*(f"{self.path}/delta-{a}-{z}" for a, z in chain))
+        return feed.replay(rows, changes, "post_id", PAYLOAD)
+
+    def _rebase(self, rows: DataFrame, cursor: int) -> None:
+        """Make ``rows`` the base and remove all that was there before."""
+        rows.write.mode("overwrite").parquet(f"{self.path}/base-{cursor}.new")
+        fs, p = self.store._fs(self.path)
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        if fs.exists(path(p, f"base-{cursor}")):
+            fs.delete(path(p, f"base-{cursor}"), True)
+        fs.rename(path(p, f"base-{cursor}.new"), path(p, f"base-{cursor}"))
+        for s in fs.listStatus(p):
+            if s.getPath().getName() != f"base-{cursor}":
+                fs.delete(s.getPath(), True)
 
     def load(self) -> int:
         """Start from the store's snapshot; events from its cursor on follow."""
         rows, cursor = self.store.snapshot()
-        rows.write.mode("overwrite").parquet(f"{self.path}/{cursor}")
-        fs, _ = self.store._fs(self.path)
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        for old in self._reached():
-            if old != cursor:
-                fs.delete(path(f"{self.path}/{old}"), True)
+        self._rebase(rows, cursor)
         return cursor
 
     def drain(self) -> int:
-        """Apply what is new and return the cursor. Fails where the log no longer has all of it.
+        """Apply what is new, by batches, and return the cursor. Fails where the log no longer has all of it.
 
         The horizon is compared before anything is read: events after a gap must not move the cursor past it.
+        Sequence numbers have no gaps, so a batch is a range of them.
         """
         cursor = self.cursor()
         if cursor is None:
             cursor = self.load()
         feed.check_horizon(cursor, self.store.horizon())
-        new = self.store.events().where(F.col("seq") > cursor)
-        last = feed.tail_cursor(new).first()["cursor"]
-        if last > cursor:
-            feed.replay(self.state(), new, "post_id", PAYLOAD).write.mode("overwrite").parquet(f"{self.path}/{last}")
-            cursor = last
+        last, events = self.store.cursor(), self.store.events()
+        while cursor < last:
+            to = min(cursor + self.batch, last)
+            part = events.where(F.col("seq").between(cursor + 1, to))
+            newest = part.groupBy("post_id").agg(F.max("seq").alias("seq"))
+            part.join(newest, ["post_id", "seq"], "left_semi").select(*(f.name for f in EVENTS)).write.mode("overwrite").parquet(f"{self.path}/delta-{cursor}-{to}")
+            cursor = to
+        if len(self._parts()[1]) > self.deltas:
+            self._rebase(self.state(), cursor)
         self.updated = time.time()
         return cursor
 

@@ -1,11 +1,15 @@
 """Change feed, synchronisation, corpora, comparison, metrics, engine, sources and streams."""
 
 import json
+import random
 import struct
+import time
+from concurrent.futures import ThreadPoolExecutor
 from datetime import timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumisig.engine import Engine
@@ -13,7 +17,7 @@ from lumisig.errors import HorizonBreach, InvalidInput, NotIndexed
 from lumisig.functions import codec
 from lumisig.operators import compare, corpus, feed, index, metrics, sync
 from lumisig.schema import Geometry
-from lumisig.sources import files, sqlite
+from lumisig.sources import files, sqlite, store
 from lumisig.streaming import stateful
 from lumisig.streaming.follower import Follower
 
@@ -111,6 +115,18 @@ def test_comparison(spark):
     assert judge([(1, 90.0)], [(1, 90.0, False), (3, 95.0, False)])[2] == 1
 
 
+def test_quantiles_and_histograms(spark):
+    r = random.Random(2)
+    rows = [("ab"[i % 2], float(r.randint(0, 30))) for i in range(333)] + [("c", 1.5), ("c", None), ("d", None)]
+    got = {x.l: tuple(x)[1:] for x in metrics.quantiles(spark.createDataFrame(rows, "l string, v double").repartition(5), "v", "l").collect()}
+    for g in "abc":
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        assert got[g] == (len(v), *(v[-(-len(v) * p // 100) - 1] for p in (50, 90, 99)), v[-1])
+    assert got["d"] == (0, None, None, None, None)
+    h = {(x.l, x.le): x.total for x in metrics.histogram(spark.createDataFrame(rows, "l string, v double"), "v", [1.0, 10.0], "l").collect()}
+    assert h["a", "10"] == sum(x <= 10 for k, x in rows if k == "a") and h["c", "+Inf"] == 1 and h["d", "1"] == 0
+
+
 def test_metrics(spark):
     d = spark.createDataFrame([("a", float(i)) for i in range(1, 101)], "l string, v double")
     assert tuple(metrics.quantiles(d, "v", "l").first()) == ("a", 100, 50.0, 90.0, 99.0, 100.0)
@@ -134,12 +150,14 @@ def test_engine_flow(spark, tmp_path):
     with pytest.raises(NotIndexed):
         e.query_one(post_id=5)
     e.upsert(channels(spark, [7, 50], seed=3))
-    alive, counted = e.live()
+    alive, counted, posts = e.live()
+    assert posts.exceptAll(index.postings(alive)).isEmpty() and index.postings(alive).exceptAll(posts).isEmpty()
     assert index.broken(alive, counted.where("images > 0")).count() == 0 and alive.count() == 20
     before = e.query_one(post_id=7, limit=20)
     e.delete(keys(spark, 50))
     e.compact()
-    alive, counted = e.live()
+    alive, counted, posts = e.live()
+    assert posts.exceptAll(index.postings(alive)).isEmpty() and index.postings(alive).exceptAll(posts).isEmpty()
     assert index.broken(alive, counted).count() == 0 and alive.count() == 19
     after = e.query_one(post_id=7, limit=20)
     assert before[0]["post_id"] == after[0]["post_id"] == 7 and len(after) == 19
@@ -187,6 +205,75 @@ def test_followers(spark, tmp_path):
     assert late.follow() == 17 and sorted(tuple(r) for r in late.state().collect()) == want
 
 
+def test_follower_applies_bounded_batches(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "db"), G)
+    e.upsert(channels(spark, range(10)))
+    f = Follower(spark, e.store, str(tmp_path / "f"), batch=4, deltas=4)
+    assert f.drain() == 10 and [z - a for a, z in f._parts()[1]] == [4, 4, 2]
+    e.upsert(channels(spark, [3, 20], seed=2))
+    e.delete(keys(spark, 1, 2))
+    assert f.drain() == 14 and len(f._parts()[1]) == 4
+    e.delete(keys(spark, 4))
+    assert f.drain() == 15 and f._parts() == (15, [])  # a new base, and nothing else is left
+    assert sorted(tuple(r) for r in f.state().collect()) == sorted(tuple(r) for r in e.images().collect())
+    assert sorted(p.name for p in (tmp_path / "f").iterdir() if not p.name.startswith(".")) == ["base-15"]
+
+
+def test_writers_take_turns(spark, tmp_path, monkeypatch):
+    e = Engine(spark, str(tmp_path / "db"), G)
+    d = [e.signatures(channels(spark, range(k * 10, k * 10 + 5))).cache() for k in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(e.upsert_signatures, d))
+    assert e.store.cursor() == 20 and sorted(r.seq for r in e.store.events().collect()) == list(range(1, 21)) and e.images().count() == 20
+    fs, lock = e.store._fs(str(tmp_path / "db" / "write.lock"))
+    fs.createNewFile(lock)
+    e.store.wait = 0.1
+    with pytest.raises(TimeoutError):
+        e.delete(keys(spark, 1))
+    e.store.lease = 0.0
+    time.sleep(0.01)
+    assert e.delete(keys(spark, 1)) == 21  # the lock's owner is taken for dead
+
+
+def test_log_is_merged_and_old_versions_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "MERGED_PARTS", 3)
+    e = Engine(spark, str(tmp_path / "db"), G)
+    for i in range(3):
+        e.upsert(channels(spark, [i]))
+    before = sorted(tuple(r) for r in e.images().collect())
+    e.compact()
+    assert len(e.store.head()["log"]) == 1 and sorted(r.seq for r in e.store.events().collect()) == [1, 2, 3]
+    assert e.store.vacuum(1) == 6 and sorted(tuple(r) for r in e.images().collect()) == before and e.query_one(post_id=1, limit=1)[0]["post_id"] == 1
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from lumisig import __main__ as cli
+
+    from lumisig.sources import files as corpora
+
+    d = corpora.synthetic_corpus(spark).limit(12)
+    means = F.array(*(F.get("d.avglf", F.lit(i)) for i in range(3)))
+    rows = d.select(F.row_number().over(Window.orderBy("kind")).alias("post_id"), codec.decode_hash(F.col("hash")).alias("d"))
+    rows = rows.select("post_id", *(F.get(means, F.lit(i)).alias(f"avglf{i + 1}") for i in range(3)), codec.encode_blob(F.col("d.sig")).alias("sig"))
+    assert sqlite.write(rows, str(tmp_path / "x.sqlite")) == 12
+
+    def call(*args):
+        cli.main(list(map(str, args)))
+        return json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+
+    db, other = tmp_path / "db", tmp_path / "other"
+    assert call("import", tmp_path / "x.sqlite", db)["rows"] == 12 and call("import", tmp_path / "x.sqlite", other)["rows"] == 12
+    assert call("import", tmp_path / "x.sqlite", db, "--incremental") == {"upserted": 0, "deleted": 0, "unchanged": 12}
+    assert call("verify", tmp_path / "x.sqlite", db) == {"source_rows": 12, "target_rows": 12, "checked": 12, "missing": 0, "mismatches": 0}
+    assert call("stats", db)["live"] == 12
+    assert call("corpus", db, tmp_path / "c", "--n", 6)["entries"] > 30
+    assert call("diff", other, db, tmp_path / "c", tmp_path / "d", "--limit", 3)["failed"] == 0
+    assert json.loads(next((tmp_path / "d" / "report").glob("*.json")).read_text())["failed"] == 0
+    assert call("subsample", db, tmp_path / "y.sqlite", "--n", 5)["rows"] == 5
+    assert call("converge", db, tmp_path / "state")["cursor"] == 1
+    assert call("bench", db, tmp_path / "c", "--n", 2)["n"] == 2 and call("compact", db)["cursor"] == 1
+
+
 def test_sqlite(spark, tmp_path):
     e = Engine(spark, str(tmp_path / "db"), G)
     d = e.signatures(channels(spark, range(30)))
@@ -212,6 +299,8 @@ def test_files(spark, tmp_path):
     row = files.copy_row(7, 0.5, 1.0, -1.0, b"ab")
     assert row == struct.pack(">hi i i d i d i d i", 5, 4, 7, 8, 0.5, 8, 1.0, 8, -1.0, 2) + b"ab"
     assert bytes(files.copy_rows(d.limit(1)).first()[0])[:6] == struct.pack(">hi", 5, 4)
+    stream = list(files.copy_stream(d.limit(3)))
+    assert stream[0] == files.COPY_HEADER and stream[-1] == files.COPY_TRAILER and len(stream) == 5
     assert files.COPY_HEADER[:11] == b"PGCOPY\n\xff\r\n\0" and files.COPY_TRAILER == b"\xff\xff"
 
 
