@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 FEATURES = (
     "url_length", "host_length", "path_length", "query_length", "depth", "labels", "digit_ratio", "host_digit_ratio", "hyphens",
-    "host_entropy", "path_entropy", "params", "longest_label", "vowel_ratio", "suffix1", "suffix2",
+    "host_entropy", "path_entropy", "params", "longest_label", "vowel_ratio", "suffix1", "suffix2", "part",
 )
 
 
@@ -65,6 +65,11 @@ def _suffixes(host: str) -> tuple[str, str]:
     return labels[-1], ".".join(labels[-2:])
 
 
+def _parts(host: str) -> set[str]:
+    """Runs of letters in a host's labels but the last, marked so that they are no suffixes."""
+    return {"~" + x for x in re.findall(r"[a-z]{3,}", host.rpartition(".")[0])}
+
+
 def lexical(url: str | None, suffixes: dict[str, float]) -> list[float]:
     """FEATURES of one url; a null url has those of the empty one."""
     url = url or ""
@@ -77,16 +82,17 @@ def lexical(url: str | None, suffixes: dict[str, float]) -> list[float]:
         len(url), len(host), len(path), len(query), sum(1 for x in path.split("/") if x), host.count(".") + bool(host), digits / rest,
         sum(map(str.isdigit, host)) / (len(host) or 1), host.count("-"), _entropy(host), _entropy(path),
         sum(1 for x in query.split("&") if x), max(map(len, host.split("."))), sum(c in "aeiou" for c in letters) / (len(letters) or 1),
-        suffixes.get(s1, 0.0), suffixes.get(s2, 0.0),
+        suffixes.get(s1, 0.0), suffixes.get(s2, 0.0), max((suffixes.get(x, 0.0) for x in _parts(host)), default=0.0),
     ]
 
 
 def suffix_statistics(urls: list[str], block: np.ndarray, weight: float = 10.0) -> dict[str, float]:
-    """Shrunk log-odds of a block for each host suffix of one and two labels, against all urls'."""
+    """Shrunk log-odds of a block for each host suffix of one and two labels and each part of a name, against all urls'."""
     base = (block.sum() + 1) / (len(block) + 2)
     n, bad = Counter(), Counter()
     for u, y in zip(urls, block, strict=True):
-        for s in set(_suffixes(split_url(u)[0])):
+        host = split_url(u)[0]
+        for s in {*_suffixes(host), *_parts(host)}:
             n[s] += 1
             bad[s] += int(y)
     odds = lambda p: math.log(p / (1 - p))
@@ -150,6 +156,13 @@ class UrlModel:
     trees: Trees
     suffixes: dict[str, float]
 
+    @classmethod
+    def fit(cls, urls: list[str], block: np.ndarray) -> UrlModel:
+        """Each url is learned twice, once as if nothing were known of its name, so that the trees can judge names that they have not met."""
+        suffixes = suffix_statistics(urls, block)
+        known, unknown = (np.array([lexical(u, s) for u in urls], float) for s in (suffixes, {}))
+        return cls(Trees.fit(np.concatenate([known, unknown]), np.concatenate([block, block])), suffixes)
+
     def blocked(self, urls: list[str | None]) -> np.ndarray:
         """Probability that each url is one to block."""
         return self.trees.predict(np.array([lexical(u, self.suffixes) for u in urls], float).reshape(len(urls), len(FEATURES)))
@@ -164,37 +177,81 @@ def train(labelled: DataFrame, max_rows: int = 20_000, url_col: str = "url", lab
     if not rows:
         raise ValueError("no labelled urls")
     urls, y = [r["u"] for r in rows], np.array([r["y"] for r in rows], float)
-    suffixes = suffix_statistics(urls, y)
-    return UrlModel(Trees.fit(np.array([lexical(u, suffixes) for u in urls], float), y), suffixes)
-
-
-#: Parts of host names for example urls.
-PLAIN_PARTS = "ar an be con de do en er ga ha in ing ka le lo ma mi na ne or pa ra re sa se ta ter th tion to un ve wa".split()
-LURE_PARTS = "adult bet bets bonus buy casino cheap click cash deal free hot loan lucky pills prize rx sale seo sexy spam track traffic vip win xxx".split()
-
-
-def example_urls(n: int = 6000, seed: int = 7) -> list[tuple[str, int]]:
+    return UrlModel.fit(urls, y)
+
+
+#: Words for example urls: of ordinary sites, and of sites that advertise themselves.
+ORDINARY = (
+    "academy anchor archive atlas autumn bakery bicycle botany bridge cabinet camera canyon castle cedar chapel chess clinic coast college comet copper "
+    "council cousin dairy delta dental diary dolphin eagle engine estate falcon family farmers ferry fiddle forest fossil galaxy garden geology gospel granite "
+    "guitar gymnasium harbor harvest heritage history hotel insect island journal kayak kitchen lantern library lumber maple market meadow mirror museum "
+    "nature observer orchard oxford parish pencil physics pilot planet pottery quarry rabbit railway recipe review river saddle school science sculpture "
+    "season shelter sailing silver society station studio teacher temple theater timber tourism travel union valley village violin weather willow window"
+).split()
+LURES = (
+    "adult ads affiliate backlinks bargain bet bets betting bitcoin bonus boost buy cams cash casino cheap clicks credit crypto dating deals detox diet "
+    "discount dollars download earn escort farm fast forex free fun games gambling gifts girls hookup hot instant investment jackpot keno keto lend loan "
+    "loans lottery luck lucky meds millionaire miracle money nude offers payday pharmacy pills poker popup porn prize profit promo quick ranker replica "
+    "rewards rich roulette rx sale seo sexy singles slots spam spins steroids streams sweepstakes torrent track tracker traffic trial viagra vip wager "
+    "warez wealth weightloss win winner xxx"
+).split()
+
+
+def example_urls(n: int = 6000, seed: int = 7, words: list[str] = ORDINARY, lures: list[str] = LURES) -> list[tuple[str, int]]:
     """(url, block): made-up labelled urls, half of each kind, where no labelled table is at hand.
 
-    Plain hosts are single pronounceable words with usual paths; lures are hyphenated or
-    digit-laden hosts, some with long or deep tails. A part of each kind looks like the other.
+    Ordinary sites are named by words, invented names or abbreviations, and have pages by date, title,
+    number or query; others by lures, often in a row, with numbers or at random, and have such pages or
+    tokens and long queries. Each kind has some of the other's habits.
     """
     r = random.Random(seed)
+    pick, token = r.choice, lambda k: "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=k))
+    some = lambda xs, low, high: [pick(xs) for _ in range(r.randint(low, high))]
+
+    def ordinary_name() -> str:
+        kind = r.random()
+        if kind < 0.4:
+            return "".join(some(words, 1, 2))
+        if kind < 0.55:
+            return "-".join(some(words, 2, 2))
+        if kind < 0.8:
+            return "".join(pick("bcdfghjklmnprstvwz") + pick("aeiou") for _ in range(r.randint(2, 5)))
+        if kind < 0.93:
+            return "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 9)))
+        return pick(words) + str(r.randint(1, 2024))
+
+    def lure_name() -> str:
+        kind = r.random()
+        if kind < 0.55:
+            return "-".join(some(lures, 2, 3))
+        if kind < 0.7:
+            return "".join(some(lures, 1, 2)) + str(r.randint(1, 9999))
+        if kind < 0.8:
+            return f"{pick(lures)}-{pick(words)}"
+        if kind < 0.9:
+            return f"{pick(lures)}-{token(r.randint(1, 4))}"
+        return token(r.randint(14, 30))
+
+    def page() -> str:
+        title = "-".join(some(words, 2, 6))
+        return pick([
+            "", "/", f"/{pick(words)}", f"/{r.randint(1995, 2025)}/{r.randint(1, 12):02}/{title}", f"/articles/{title}.htm", f"/{pick(words)}/{r.randint(1, 99999)}", f"/wiki/{pick(words).title()}",
+            f"/index.php?id={r.randint(1, 5000)}", f"/search?q={pick(words)}&lang=it", f"/{title}/", f"/{r.randint(1, 99999)}", f"/{pick(words)}/{title}?print=1",
+        ])
+
+    def lure_page() -> str:
+        query = "&".join(f"{token(r.randint(1, 4))}={token(r.randint(6, 24))}" for _ in range(r.randint(2, 8)))
+        return pick([page(), page(), f"/go/{token(12)}", f"/?{query}", f"/{pick(lures)}/{token(8)}?{query}", f"/{'/'.join(token(5) for _ in range(r.randint(3, 7)))}"])
+
     out = []
     for i in range(n):
         block = i % 2
-        if block:
-            a, b = r.sample(LURE_PARTS, 2)
-            name = r.choice([f"{a}-{b}", f"{a}-{b}", f"{a}-{b}-{r.choice(LURE_PARTS)}", f"{a}{r.randint(1, 999)}-{b}", f"{a}-{r.choice('x123')}", f"{a}-{r.choice(PLAIN_PARTS)}{r.choice(PLAIN_PARTS)}", f"{a}{b}{r.randint(10, 99)}"])
-        else:
-            name = "".join(r.choice(PLAIN_PARTS) for _ in range(r.randint(2, 5)))
-            name += r.choice(["", "", "", "", "", "", "", "", "", "", "", "-" + r.choice(PLAIN_PARTS) + r.choice(PLAIN_PARTS), str(r.randint(1, 99))])
-        host = r.choice(["", "www.", "blog.", "m."]) + name + r.choice([".example", ""]) + r.choice([".com", ".net", ".org"])
-        page = r.choice(["", "en/", "de/", "fr/", "es/", "news/", "a/b/"]) + str(r.randint(1, 60_000)) + r.choice(["", "/", ".html"])
-        tail = r.choice(["", "", "#top", "?page=2&ref=x", "?utm_source=feed"])
-        if block and r.random() < 0.15:
-            tail = "?" + "&".join(f"{r.choice('abcdefgh')}{r.randint(1, 99)}={r.getrandbits(40):x}" for _ in range(r.randint(3, 9)))
-        out.append((f"{r.choice(['http', 'https'])}://{host}/{page}{tail}", block))
+        name, path = (lure_name(), lure_page()) if block else (ordinary_name(), page())
+        ends = ["com", "com", "org", "net", "info", "co.uk", "de", "eu"]
+        end = pick(["top", "xyz", "click", "icu"]) if block and r.random() < 0.3 else pick(ends)
+        before = pick(["", "", "www.", "www.", "mobile.", "news.", f"{pick(words)}.", f"{ordinary_name()}."])
+        under = f".{pick(words)}" if r.random() < 0.25 else ""
+        out.append((f"{pick(['http', 'https'])}://{before}{name}{under}.{end}{path}", block))
     return out
 
 

@@ -1,6 +1,7 @@
 """URL rules and trees, and the cosine join."""
 
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -31,6 +32,49 @@ def test_held_out_accuracy():
     assert ((model.blocked(x[3000:]) >= 0.5) == y[3000:]).mean() > 0.9
 
 
+def test_accuracy_on_names_that_were_not_seen():
+    train = urls.example_urls(6000, 2, urls.ORDINARY[::2], urls.LURES[::2])
+    held = urls.example_urls(3000, 3, urls.ORDINARY[1::2], urls.LURES[1::2])
+    model = urls.UrlModel.fit([u for u, _ in train], np.array([b for _, b in train], float))
+    assert ((model.blocked([u for u, _ in held]) >= 0.5) == [b for _, b in held]).mean() > 0.8
+
+
+def test_rules_equal_a_plain_loop():
+    r = random.Random(8)
+    label = lambda: r.choice(["a", "b", "www", "example", "net", "com", "x-y"])
+    host = lambda: ".".join(label() for _ in range(r.randint(1, 4)))
+    path = lambda: "".join(r.choice(["/", "/en/", "/e", "n", "/es/x"]) for _ in range(r.randint(0, 3)))
+    for _ in range(300):
+        rules = tuple((r.choice(["allow", "block"]), x) for x in {host() + "/" + path()[1:] for _ in range(r.randint(1, 6))})
+        table = urls.Rules(rules)
+        for _ in range(20):
+            h, p = host(), path()
+            best = None
+            for verdict, rule in rules:
+                rule_host, _, rule_path = rule.partition("/")
+                if (h == rule_host or h.endswith("." + rule_host)) and p.startswith("/" + rule_path) and (best is None or len(rule) > len(best[0])):
+                    best = rule, verdict
+            found = table.find(h, p)
+            assert (found is None) == (best is None)
+            assert best is None or (len(found[0]) == len(best[0]) and found in [(rule, v) for v, rule in rules])
+
+
+def test_trees_equal_plain_walks():
+    r = np.random.default_rng(5)
+    x, y = r.standard_normal((400, 4)), r.integers(0, 2, 400).astype(float)
+    t = urls.Trees.fit(x, y, rounds=7)
+    plain = []
+    for row in x:
+        score = t.start
+        for f, cut, leaf in zip(t.feature, t.threshold, t.leaf):
+            at = 0
+            while at < len(f):
+                at = 2 * at + (2 if row[f[at]] > cut[at] else 1)
+            score += leaf[at - len(f)]
+        plain.append(1 / (1 + np.exp(-score)))
+    assert np.allclose(t.predict(x), plain)
+
+
 def test_trees_learn_interactions():
     r = np.random.default_rng(0)
     x = r.uniform(-1, 1, (2000, 3))
