@@ -14,7 +14,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from lumisig.cluster import numbered
+
+from .common import materialize, sized_broadcast
 
 _MARK = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
@@ -73,13 +75,13 @@ def _parsed(messages: DataFrame, conv: str, turn: str, text: str) -> DataFrame:
 
 
 def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv_id, turn, role, text, reply_to, thread, depth, n_quotes), one row per message.
+    """(conv_id, turn, role, text, reply_to, thread, depth, n_quotes, position), one row per message.
 
     text is the message without quotations; reply_to the turn that it quotes: of the outermost
     level that is found, the earlier message with most of the passages, the latest of equals;
     null where it quotes none. thread is the turn where the chain of replies began, depth the replies
-    since. Order by (conv_id, thread, turn) to read each conversation in reply order: a message comes after the one it answers. A
-    passage belongs to the first message of its conversation that says it. Null text is empty;
+    since. position counts the messages of a conversation from 0 in reply order, which is that of (thread, turn): a message comes
+    after the one it answers; repeated rows share theirs, and rows without a conversation or turn have none. A passage belongs to the first message of its conversation that says it. Null text is empty;
     messages with a null conversation or turn link with nothing; repeated rows return repeatedly.
     """
     parsed = materialize(_parsed(messages, conv, turn, text))
@@ -100,15 +102,21 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
             replies = replies.drop("moved")
     has_role = role in messages.columns
     rows = messages.select(F.col(conv).cast("long").alias("conv"), F.col(turn).cast("long").alias("turn"), *([F.col(role).cast("string").alias("role")] if has_role else []), F.col(text).cast("string").alias("t"))
-    clean = _without_quotes()
-    rows = rows.select("conv", "turn", F.col("role") if has_role else F.lit(None).cast("string").alias("role"), clean("t").alias("c")).select("conv", "turn", "role", "c.own", "c.n")
+    place = parsed.where("conv IS NOT NULL AND turn IS NOT NULL").select("conv", "turn").distinct()
     if replies is None:
-        out = rows.withColumn("to", F.lit(None).cast("long")).withColumn("top", F.col("turn")).withColumn("depth", F.lit(0))
+        place = place.select("conv", "turn", F.lit(None).cast("long").alias("to"), F.col("turn").alias("top"), F.lit(0).alias("depth"))
     else:
-        out = rows.join(replies.select("conv", "turn", "to", "top", "depth"), ["conv", "turn"], "left")
+        place = place.join(replies.select("conv", "turn", "to", "top", "depth"), ["conv", "turn"], "left").withColumn("top", F.coalesce("top", "turn"))
+    place = materialize(place.select(F.struct("conv", "top", "turn").alias("k"), "to", "depth"))
+    place = materialize(numbered(place, "k", "at")).select("k.*", "to", "depth", "at")
+    first = sized_broadcast(materialize(place.groupBy("conv").agg(F.min("at").alias("first"))))
+    place = place.join(first, "conv").withColumn("position", F.col("at") - F.col("first"))
+    clean = _without_quotes()
+    rows = rows.select("conv", "turn", F.col("role") if has_role else F.lit(None).cast("string").alias("role"), clean("t").alias("c")).select("conv", "turn", "role", "c.own", "c.n")
+    out = rows.join(place, ["conv", "turn"], "left")
     return out.select(
         F.col("conv").alias("conv_id"), "turn", "role", F.col("own").alias("text"), F.col("to").alias("reply_to"),
-        F.coalesce("top", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), F.col("n").alias("n_quotes"),
+        F.coalesce("top", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), F.col("n").alias("n_quotes"), "position",
     )
 
 
