@@ -88,11 +88,24 @@ def records(pages: DataFrame, again: DataFrame, date: str | None = None, id_col:
     return p.select(F.concat(head, block).alias("value"))
 
 
+#: Payloads up to this size are written ``per_file`` to an archive; of larger ones fewer, by powers of two.
+USUAL_BYTES = 1 << 16
+
+
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 1000, per_file: int = 2000, **names: str) -> None:
-    """Write ``pages`` as gzipped archives of at most ``per_file`` records in the new folder ``path``."""
+    """Write ``pages`` as gzipped archives of at most ``per_file`` records in the new folder ``path``.
+
+    Pages are written by classes of payload size, each of which has half the records in a file of the one before, so that no
+    archive holds more than some ``per_file * USUAL_BYTES``, or one record: readers take archives whole.
+    """
     heads = headers(pages, **{k: v for k, v in names.items() if k != "url_col"})
     again = materialize(revisits(heads, min_bytes))
-    records(pages, again, **names).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    size = lambda n: F.greatest(F.lit(0), F.ceil(F.log2(n / F.lit(USUAL_BYTES)))).cast("int")
+    sizes = sorted(r[0] for r in heads.select(size(F.greatest("payload_bytes", F.lit(1)))).distinct().collect())  # under twenty
+    for k in sizes or [0]:
+        n = F.greatest(F.octet_length(_payload(names.get("html_col", "html"))), F.lit(1))
+        some = pages.where(size(n) == k) if len(sizes) > 1 else pages
+        records(some, again, **names).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", max(1, per_file >> k)).text(f"{path}/size-{k}")
 
 
 def parse(content: bytes, step: int = 1 << 20) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -164,7 +177,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if cols[0]:
                     yield _batch(cols)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, RECORD)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path).select("content").mapInArrow(run, RECORD)
 
 
 def _batch(cols: list[list]) -> pa.RecordBatch:

@@ -162,6 +162,19 @@ def test_repeated_rows(spark, tmp_path):
     assert sorted((r.page_id, r.record_type) for r in warc.read_archives(spark, str(tmp_path / "w")).collect()) == [(1, "revisit"), (1, "revisit"), (2, "response")]
 
 
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "USUAL_BYTES", 1000)
+    r = random.Random(1)
+    data = [(i, "u", "".join(r.choice("abcdefgh") for _ in range(r.choice([10, 900, 3000, 40_000, 100_000])))) for i in range(120)]
+    d = spark.createDataFrame(data, "page_id long, url string, html string").coalesce(1)
+    path = tmp_path / "w"
+    warc.write_archives(d, str(path), per_file=16)
+    held = [sum(len(b) for _, b in warc.parse(f.read_bytes())) for f in path.rglob("part-*.gz")]
+    assert max(held) < 101_000 and len(held) > 10
+    got = {x.page_id: bytes(x.payload) for x in warc.read_archives(spark, str(path)).collect()}
+    assert got == {i: t.encode() for i, _, t in data}
+
+
 def test_parser():
     record = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nab\r\nc\r\n\r\n"
     for content in (record * 3, gzip.compress(record) * 3, gzip.compress(record * 3)):
