@@ -91,7 +91,7 @@ class WordEncoder:
     def __call__(self, text: bytes) -> bytes:
         return next(self.each(pa.array([text]).cast(pa.string()))).tobytes()
 
-    def each(self, texts: pa.Array, most_bytes: int = 1 << 23) -> Iterator[np.ndarray]:
+    def each(self, texts: pa.Array, most_bytes: int = 1 << 21) -> Iterator[np.ndarray]:
         """Ids of each of the texts (strings; null is empty) in turn, by blocks of some ``most_bytes``.
 
         A block's words are told apart by Arrow; only its different words pass through Python.
@@ -151,7 +151,7 @@ class Statistics:
 class Index:
     """BM25 over the token ids of one shard's pieces; ``stats`` are the corpus's, or the shard's where not given.
 
-    Terms of over an eighth of the pieces are rows of a matrix, which are added faster than lists of that length.
+    Terms of over a quarter of the pieces are rows of a matrix, which are added faster than lists of that length.
     """
 
     def __init__(self, pieces: list[np.ndarray], stats: Statistics | None = None, k1: float = 1.2, b: float = 0.75):
@@ -168,7 +168,7 @@ class Index:
         order = np.argsort(doc, kind="stable")
         self.query = np.split(term[order], np.cumsum(np.bincount(doc, minlength=n))[:-1])
         held = np.bincount(term)
-        common = np.flatnonzero(8 * held > n)
+        common = np.flatnonzero(4 * held > n)
         self.row = np.full(len(held), -1)
         self.row[common] = np.arange(len(common))
         self.dense = np.zeros((len(common), n))
