@@ -397,12 +397,13 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
 
         full: list[list[tuple]] = []
         for b in batches:
-            for doc, start, ids, n, *whole in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for i, (doc, start, n) in enumerate(zip(*(b.column(k).to_pylist() for k in (0, 1, 3)), strict=True)):
+                ids = b.column(2)[i].as_py()
                 if ids is not None:
                     pool.append([doc, start, np.frombuffer(ids, kind), n])
                     held += len(pool[-1][2])
                 else:
-                    full.append([(doc, start, np.frombuffer(whole[0], "<u4"), n)])
+                    full.append([(doc, start, np.frombuffer(b.column(4)[i].as_py(), "<u4"), n)])
                     held += window
                 if held >= shard_tokens:
                     rows, pool = _pack_shard(pool, window, False, stats)
