@@ -131,8 +131,8 @@ class WordEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def encoder(path: str, most: int = 400_000) -> WordEncoder:
+    return WordEncoder(path, most)
 
 
 class Statistics:
@@ -246,7 +246,7 @@ def narrow(tokenizer: str, end: int) -> str:
     return "<u2" if max(len(encoder(tokenizer).last) - 1, end) < 1 << 16 else "<u4"
 
 
-def _pieces(docs: DataFrame, tokenizer: str, window: int, end: int) -> DataFrame:
+def _pieces(docs: DataFrame, tokenizer: str, window: int, end: int, known_words: int = 400_000) -> DataFrame:
     """(doc_id, start, full, ids, doc_tokens, stats) of ``docs`` (id, text).
 
     A piece's ids are in ``full`` (four bytes each) where it fills a window, in ``ids`` (``narrow``) where not. Each task
@@ -255,7 +255,7 @@ def _pieces(docs: DataFrame, tokenizer: str, window: int, end: int) -> DataFrame
     kind = narrow(tokenizer, end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last = encoder(tokenizer), np.array([end], "<u4")
+        encode, last = encoder(tokenizer, known_words), np.array([end], "<u4")
         df, n, size = np.zeros(1 << 16, np.int64), 0, 0
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
@@ -280,6 +280,7 @@ def _pieces(docs: DataFrame, tokenizer: str, window: int, end: int) -> DataFrame
                     rows, terms, held = [], [], 0
             df = _added(df, terms)
             yield out(rows)
+            pa.default_memory_pool().release_unused()
         at = np.flatnonzero(df)
         yield out([(None, None, None, None, None, np.concatenate(([n, size], at, df[at])).astype("<i8").tobytes())])
 
@@ -362,7 +363,7 @@ def _gathered(pieces: DataFrame, stats: Statistics, kind: str, shard_tokens: int
     return keyed.repartitionById(n, "__p").sortWithinPartitions("__a", "__c", "__d", "start").select(*pieces.columns)
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, shard_tokens: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text", gather: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, shard_tokens: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text", gather: bool = True, known_words: int = 400_000) -> DataFrame:
     """Pieces of all documents, dealt to sequences of at most ``window`` tokens (see SCHEMA).
 
     A document is its ids and then ``end``; null text is empty text, which gives ``end``
@@ -370,9 +371,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
     packed as often as they stand. ``tokenizer`` is the path of a tokenizer file that each
     executor can open. sequence_id holds the task's number above 40 bits, so that a task that
     is run again gives the same ids. Without ``gather`` pieces stay in the tasks and order in which
-    they are read, for callers whose order means something.
+    they are read, for callers whose order means something. A worker keeps the ids of up to twice ``known_words`` words, some 190 bytes each.
     """
-    pieces = materialize(_pieces(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), tokenizer, window, end))
+    pieces = materialize(_pieces(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), tokenizer, window, end, known_words))
     stats, kind = _statistics(pieces), narrow(tokenizer, end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,6 +409,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
                 if held >= shard_tokens:
                     rows, pool = _pack_shard(pool, window, False, stats)
                     yield from emit(full + rows)
+                    pa.default_memory_pool().release_unused()
                     full, held = [], sum(len(p[2]) for p in pool)
         rows, _ = _pack_shard(pool, window, True, stats)
         yield from emit(full + rows)
