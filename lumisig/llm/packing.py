@@ -15,7 +15,7 @@ import os
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,63 +30,116 @@ WINDOW = 2048
 END = 1
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: ASCII marks, which none of the tokenizer's patterns joins to a letter or digit before them.
-_TAIL = rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
+_TAIL = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
+#: Which bytes are ASCII letters or digits.
+_ALNUM = np.array([bytes([b]).isalnum() for b in range(256)])
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers ``first[i]`` to ``first[i] + n[i] - 1`` of each i in turn."""
+    after = np.cumsum(n)
+    return np.arange(after[-1] if len(after) else 0) + np.repeat(first - (after - n), n)
+
+
+def _sizes(words: pa.Array) -> np.ndarray:
+    return pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _parted(words: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """Words without closing marks, the marks of those that were cut, and which those are.
+
+    Marks are cut only after a letter or digit of ASCII or Latin-1, where they are a piece of their own.
+    """
+    core = pc.ascii_rtrim(words, characters=_TAIL)
+    size, left = _sizes(words), _sizes(core)
+    data = np.frombuffer(words.buffers()[2] or b"\0", np.uint8)
+    first = np.cumsum(size) - size + np.frombuffer(words.buffers()[1], np.int32)[words.offset] if len(words) else size
+    last, before = (data[np.maximum(first + left - k, 0)] for k in (1, 2))
+    cut = (left < size) & (left > 0) & (_ALNUM[last] | ((left > 1) & (before == 0xC3) & (last != 0x97) & (last != 0xB7)))
+    n = (size - left)[cut]
+    marks = data[_ranges((first + left)[cut], n)]
+    tails = pa.StringArray.from_buffers(len(n), pa.py_buffer(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.py_buffer(marks))
+    return pc.if_else(pa.array(cut), core, words), tails, cut
 
 
 class WordEncoder:
     """Ids by a tokenizer that drops white space, so that words can be encoded one by one and kept.
 
     Texts that may hold a special token are encoded whole. Gives little-endian unsigned
-    32-bit ids, as bytes.
+    32-bit ids. At most ``most`` words and those of a block are kept.
     """
 
     def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        # of two generations of known words the older goes when the younger is full
-        self.tokenizer, self.known, self.older, self.most = Tokenizer.from_file(path), {}, {}, most
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # pieces that end a word
         self.last[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        # places of known words in ``first`` and ``size``, which say where their ids are
+        self.known: dict[bytes, int] = {}
+        self.first, self.size, self.ids, self.met = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4"), np.zeros(0, bool)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_plain(self, words: list[bytes], step: int = 4096) -> list[bytes]:
-        """Words of letters only, which are one piece each: many at once."""
-        out: list[bytes] = []
+    def _encode_plain(self, words: list[bytes], step: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids and sizes of words of letters only, which are one piece each: many at once."""
         for i in range(0, len(words), step):
             part = words[i : i + step]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
-            cut = [0, *(4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()]
-            ids = ids.tobytes()
-            out += [ids[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)] if len(cut) == len(part) + 1 else self._encode([w.decode() for w in part])
-        return out
-
-    def _learn(self, words: set[bytes]) -> None:
-        known, older = self.known, self.older
-        if older:
-            again = [w for w in words if w in older]
-            known.update((w, older[w]) for w in again)
-            words.difference_update(again)
-        cores, new = {}, set()
-        for w in words:
-            core = w.rstrip(_TAIL)
-            # after a letter or digit, closing marks are a piece of their own
-            if core is not w and core and (core[-1:].isalnum() or (len(core) > 1 and core[-2] == 0xC3 and core[-1] not in (0x97, 0xB7))):
-                tail = w[len(core) :]
-                cores[w] = core, tail
-                new.add(core)
-                new.add(tail)
-            else:
-                new.add(w)
-        plain, other = [], []
-        for w in new.difference(known):
-            (plain if w.isalpha() or w.decode().isalpha() else other).append(w)
-        known.update(zip(plain, self._encode_plain(plain), strict=True))
-        known.update(zip(other, self._encode([w.decode() for w in other]), strict=True))
-        known.update((w, known[a] + known[b]) for w, (a, b) in cores.items())
+            ids = self._encode([b" ".join(part).decode()])[0]
+            size = np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
+            if len(size) != len(part):
+                each = self._encode([w.decode() for w in part])
+                ids, size = np.concatenate(each), np.array(list(map(len, each)))
+            yield ids, size
+
+    def _learn(self, words: list[bytes]) -> np.ndarray:
+        """Keep the ids of new words; returns the words' places."""
+        letters = np.fromiter((w.isalpha() or w.decode().isalpha() for w in words), bool, len(words))
+        order = np.concatenate([np.flatnonzero(letters), np.flatnonzero(~letters)])
+        n, words = np.count_nonzero(letters), [words[i] for i in order.tolist()]
+        plain, other = words[:n], words[n:]
+        got = list(self._encode_plain(plain))
+        each = self._encode([w.decode() for w in other])
+        size = np.concatenate([*(n for _, n in got), np.fromiter(map(len, each), np.int64, len(each))])
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, *(x for x, _ in got), *each])
+        self.met = np.concatenate([self.met, np.zeros(len(words), bool)])
+        places = np.empty(len(words), np.int64)
+        places[order] = np.arange(len(self.known), len(self.first))
+        self.known.update(zip(words, range(len(self.known), len(self.first)), strict=True))
+        return places
+
+    def _forget(self) -> None:
+        """Keep the words that were met again since the last time, or none where those are many."""
+        keep = np.flatnonzero(self.met)
+        keep = keep if 2 * len(keep) <= self.most else keep[:0]
+        words = list(self.known)
+        self.known = {words[k]: i for i, k in enumerate(keep.tolist())}
+        size = self.size[keep]
+        self.ids = self.ids[_ranges(self.first[keep], size)]
+        self.first, self.size, self.met = np.cumsum(size) - size, size, np.zeros(len(keep), bool)
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """The places of different words, which are learned where they aren't known."""
+        keys = words.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+
+        def find() -> np.ndarray:
+            return np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
+
+        at = find()
+        new = np.flatnonzero(at < 0)
+        self.met[at[at >= 0]] = True
+        if len(new) and len(self.known) + len(new) > self.most:
+            self._forget()
+            at = find()
+            new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = self._learn([keys[i] for i in new.tolist()])
+        return at
 
     def __call__(self, text: bytes) -> bytes:
         return next(self.each(pa.array([text]).cast(pa.string()))).tobytes()
@@ -97,7 +150,7 @@ class WordEncoder:
         A block's words are told apart by Arrow; only its different words pass through Python.
         """
         texts = pc.fill_null(texts, "")
-        end = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        end = np.cumsum(_sizes(texts))
         at = 0
         while at < len(texts):
             stop = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + most_bytes, "right")))
@@ -108,25 +161,24 @@ class WordEncoder:
         special = pc.match_substring(texts, "<|")
         lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(special, "", texts)))
         words = lists.flatten().dictionary_encode()
-        unique = words.dictionary.cast(pa.binary()).to_pylist()
-        new = set(unique).difference(self.known)
-        if new:
-            if len(self.known) > self.most:
-                self.older, self.known = self.known, {}
-                new = set(unique)
-            self._learn(new)
-        ids = list(map(self.known.__getitem__, unique))
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        ids = np.frombuffer(b"".join(ids), "<u4")
-        first = np.cumsum(size) - size
+        cores, tails, cut = _parted(words.dictionary)
+        parts = pa.concat_arrays([cores, tails]).dictionary_encode()
+        at = self._places(parts.dictionary)[parts.indices.to_numpy(zero_copy_only=False)]
+        core, tail = at[: len(cores)], at[len(cores) :]
+        size = self.size[core]
+        more = np.zeros(len(size), np.int64)
+        more[cut] = self.size[tail]
+        first = np.cumsum(size + more) - (size + more)
+        ids = np.empty(int((size + more).sum()), "<u4")
+        ids[_ranges(first, size)] = self.ids[_ranges(self.first[core], size)]
+        ids[_ranges((first + size)[cut], more[cut])] = self.ids[_ranges(self.first[tail], more[cut])]
         word = words.indices.to_numpy(zero_copy_only=False)
-        n = size[word]
-        after = np.cumsum(n)
-        out = ids[np.arange(after[-1] if len(after) else 0) + np.repeat(first[word] - (after - n), n)]
-        ends = np.concatenate(([0], after))[np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))]
+        n = (size + more)[word]
+        out = ids[_ranges(first[word], n)]
+        ends = np.concatenate(([0], np.cumsum(n)))[np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))]
         start = 0
-        for i, (stop, whole) in enumerate(zip(ends.tolist(), special.to_pylist(), strict=True)):
-            yield np.frombuffer(self._encode([texts[i].as_py()])[0], "<u4") if whole else out[start:stop]
+        for i, (stop, whole) in enumerate(zip(ends.tolist(), special.to_numpy(zero_copy_only=False).tolist(), strict=True)):
+            yield self._encode([texts[i].as_py()])[0] if whole else out[start:stop]
             start = stop
 
 
@@ -371,7 +423,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
     packed as often as they stand. ``tokenizer`` is the path of a tokenizer file that each
     executor can open. sequence_id holds the task's number above 40 bits, so that a task that
     is run again gives the same ids. Without ``gather`` pieces stay in the tasks and order in which
-    they are read, for callers whose order means something. A worker keeps the ids of up to twice ``known_words`` words, some 190 bytes each.
+    they are read, for callers whose order means something. A worker keeps the ids of up to ``known_words`` words, some 220 bytes each.
     """
     pieces = materialize(_pieces(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), tokenizer, window, end, known_words))
     stats, kind = _statistics(pieces), narrow(tokenizer, end)
