@@ -15,10 +15,10 @@ from __future__ import annotations
 import html
 import json
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -169,7 +169,7 @@ class Shape:
     characters found there, and ``common``, the texts (their hash and length) that it has on every one of those pages.
     """
 
-    __slots__ = ("label", "out", "nodes", "kids", "pages", "low", "high", "found", "chars", "common", "flag")
+    __slots__ = ("label", "out", "nodes", "kids", "pages", "low", "high", "found", "chars", "common", "flag", "kind")
 
     def __init__(self, label: str, out: bool):
         self.label, self.out, self.nodes, self.kids = label, out, [], []
@@ -218,61 +218,190 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text)
 
 
-#: Combinations of two rows of siblings up to which all are weighed.
-WEIGHED = 1 << 16
+class Sizes:
+    """Sizes of the largest matches of trees, kept by their kinds: trees with the same labels throughout are of one kind.
 
+    Trees are named before they are matched; names hold until a tree changes.
+    """
 
-def matched(a: list[Shape], b: list[Shape]) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching: the size of the largest match of two rows of trees that keeps order and depth, and the pairs of its top.
+    #: Sizes that are kept, and the longest row that is summed without arrays, which are slower there: neither changes a result.
+    KNOWN, PLAIN = 1 << 18, 100
 
-    Longer rows than ``WEIGHED`` combinations are matched from the left, each tree with the next of its label.
+    def __init__(self):
+        self.kinds: dict[tuple, int] = {}
+        self.counts: list[int] = []  # nodes of a tree of the kind
+        self.known: dict[tuple[int, int], int] = {}
+
+    def name(self, s: Shape) -> int:
+        key = (s.label, *map(self.name, s.kids))
+        s.kind = self.kinds.setdefault(key, len(self.kinds))
+        if s.kind == len(self.counts):
+            self.counts.append(1 + sum(self.counts[k] for k in key[1:]))
+        return s.kind
+
+    def of(self, x: Shape, y: Shape) -> int:
+        """Of two trees with one label."""
+        if x.kind == y.kind:
+            return self.counts[x.kind]
+        if not x.kids or not y.kids:
+            return 1
+        key = x.kind, y.kind
+        size = self.known.get(key)
+        if size is None:
+            size = 1 + self.of_rows(x.kids, y.kids)
+            if len(self.known) >= self.KNOWN:
+                self.known.clear()
+            self.known[key] = size
+        return size
+
+    def of_rows(self, a: list[Shape], b: list[Shape]) -> int:
+        # equal trees at the ends of both rows are in a largest match
+        first, n, m, size = 0, len(a), len(b), 0
+        while n and m and a[n - 1].kind == b[m - 1].kind:
+            n, m = n - 1, m - 1
+            size += self.counts[a[n].kind]
+        while first < n and first < m and a[first].kind == b[first].kind:
+            size += self.counts[a[first].kind]
+            first += 1
+        a, b = a[first:n], b[first:m]
+        if not a or not b:
+            return size
+        if len(b) > self.PLAIN:
+            t = Table(a, b, self)
+            row = t.start()
+            for i in range(len(t.a)):
+                row = t.after(i, row)
+            return size + int(row[-1])
+        labels, row = [y.label for y in b], [0] * len(b)
+        for x in a:
+            if x.label not in labels:
+                continue
+            left = corner = 0
+            for j, label in enumerate(labels):
+                above = row[j]
+                best = max(above, left)
+                if label == x.label:
+                    best = max(best, corner + self.of(x, b[j]))
+                row[j] = left = best
+                corner = above
+        return size + row[-1]
+
+
+class Table:
+    """The matching of two rows of trees by dynamic programming: rows of the table for the trees of ``a``, columns for those of ``b``.
+
+    Every combination is weighed, whatever the length. ``HELD`` bounds the cells in memory, not what is matched:
+    beyond it some rows are kept and those between are made again.
     """
-    if not a or not b:
-        return 0, []
-    if len(a) * len(b) > WEIGHED:
-        places: dict[str, list[int]] = {}
-        for i, x in enumerate(a):
-            places.setdefault(x.label, []).append(i)
-        size, at, pairs = 0, 0, []
+
+    HELD, KEPT = 1 << 22, 16
+
+    def __init__(self, a: list[Shape], b: list[Shape], sizes: Sizes):
+        self.b, self.sizes = b, sizes
+        by: dict[str, list[int]] = {}
         for j, y in enumerate(b):
-            at_label = places.get(y.label, [])
-            if (k := bisect_left(at_label, at)) < len(at_label):
-                size += 1 + matched(a[at_label[k]].kids, y.kids)[0]
-                pairs.append((at_label[k], j))
-                at = at_label[k] + 1
-        return size, pairs
-    w = [[1 + matched(x.kids, y.kids)[0] if x.label == y.label else 0 for y in b] for x in a]
-    m = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a)):
-        for j in range(len(b)):
-            m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + w[i][j])
-    i, j, pairs = len(a), len(b), []
-    while i and j:
-        if w[i - 1][j - 1] and m[i][j] == m[i - 1][j - 1] + w[i - 1][j - 1]:
-            i, j = i - 1, j - 1
-            pairs.append((i, j))
-        elif m[i][j] == m[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return m[-1][-1], pairs[::-1]
+            by.setdefault(y.label, []).append(j)
+        self.at = [i for i, x in enumerate(a) if x.label in by]  # others match nothing
+        self.a = [a[i] for i in self.at]
+        self.places: dict[str, tuple[np.ndarray, list[Shape], np.ndarray]] = {}
+        for label in {x.label for x in self.a}:  # columns of a label, a tree of each kind there, and each column's among these
+            kinds = {b[j].kind: b[j] for j in by[label]}
+            nth = {k: i for i, k in enumerate(kinds)}
+            self.places[label] = np.array(by[label]), list(kinds.values()), np.array([nth[b[j].kind] for j in by[label]])
+
+    def start(self) -> np.ndarray:
+        return np.zeros(len(self.b) + 1, np.int32)
+
+    def after(self, i: int, row: np.ndarray) -> np.ndarray:
+        """The row of the i-th tree, from the one before; as many columns as that has."""
+        x = self.a[i]
+        cols, trees, nth = self.places[x.label]
+        cols = cols[: np.searchsorted(cols, len(row) - 1)]
+        w = np.fromiter((self.sizes.of(x, y) for y in trees), np.int32, len(trees))
+        with_x = row[cols] + (w[nth[: len(cols)]] if len(w) > 1 else w)
+        cols, out = cols + 1, row.copy()
+        out[cols] = np.maximum(row[cols], with_x)
+        return np.maximum.accumulate(out, out=out)
+
+    def pairs(self) -> list[tuple[int, int]]:
+        """The pairs of the largest match, last first. Of equal ones that which has the last pair, then leaves out trees of ``a`` rather than of ``b``."""
+        found: list[tuple[int, int]] = []
+        self._back(0, len(self.a), self.start(), found)
+        return found
+
+    def _back(self, low: int, high: int, row: np.ndarray, found: list[tuple[int, int]]) -> int:
+        """Go back from the last column of row ``high`` to row ``low``, which is given, and return the column there."""
+        j = len(row) - 1
+        if high - low > 1 and (high - low) * len(row) > self.HELD:
+            step = -(-(high - low) // self.KEPT)
+            kept = []
+            for i in range(low, high):
+                if (i - low) % step == 0:
+                    kept.append(row)
+                row = self.after(i, row)
+            for k in range(len(kept) - 1, -1, -1):
+                j = self._back(low + k * step, min(high, low + (k + 1) * step), kept.pop()[: j + 1], found)
+            return j
+        rows = [row]
+        for i in range(low, high):
+            rows.append(self.after(i, rows[-1]))
+        i = high
+        while i > low and j:
+            here, above, x, y = rows[i - low], rows[i - low - 1], self.a[i - 1], self.b[j - 1]
+            if x.label == y.label and here[j] == above[j - 1] + self.sizes.of(x, y):
+                i, j = i - 1, j - 1
+                found.append((self.at[i], j))
+            elif here[j] == above[j]:
+                i -= 1
+            else:
+                j -= 1
+        return j
 
 
-def _absorb(template: Shape, page: Shape, put: list[Shape | None], grow: bool) -> None:
+def matched(a: list[Shape], b: list[Shape], sizes: Sizes | None = None) -> tuple[int, list[tuple[int, int]]]:
+    """Simple tree matching: the size of the largest match of two rows of trees that keeps order and depth, and the pairs of its top.
+
+    sizes: has named the trees.
+    """
+    if not a or not b:
+        return 0, []
+    if sizes is None:
+        sizes = Sizes()
+        for s in (*a, *b):
+            sizes.name(s)
+    n, m, pairs = len(a), len(b), []
+    while n and m and a[n - 1].kind == b[m - 1].kind:  # equal trees at the end are the last pair of a largest match
+        n, m = n - 1, m - 1
+        pairs.append((n, m))
+    if n and m:
+        pairs += Table(a[:n], b[:m], sizes).pairs()
+    return sum(sizes.of(a[i], b[j]) for i, j in pairs), pairs[::-1]
+
+
+def aligned(template: Shape, page: Shape, grow: bool) -> list[Shape | None]:
+    """The template's node of each node of the page, in preorder; what it lacks it gets (grow) or is None."""
+    sizes, put = Sizes(), []
+    sizes.name(template)
+    sizes.name(page)
+    _absorb(template, page, put, grow, sizes)
+    return put
+
+
+def _absorb(template: Shape, page: Shape, put: list[Shape | None], grow: bool, sizes: Sizes) -> None:
     """Align ``page`` with ``template`` and append to ``put`` the template node of each page node, in preorder."""
     put.append(template)
     at = 0
-    fits_ = dict((j, i) for i, j in matched(template.kids, page.kids)[1])
+    fits_ = dict((j, i) for i, j in matched(template.kids, page.kids, sizes)[1])
     shift = 0
     for j, kid in enumerate(page.kids):
         if j in fits_:
             at = fits_[j] + shift + 1
-            _absorb(template.kids[at - 1], kid, put, grow)
+            _absorb(template.kids[at - 1], kid, put, grow, sizes)
         elif grow:
             new = Shape(kid.label, kid.out)
             template.kids.insert(at, new)
             at, shift = at + 1, shift + 1
-            _absorb(new, kid, put, grow)
+            _absorb(new, kid, put, grow, sizes)
         else:
             put.extend([None] * len(kid.preorder()))
 
@@ -290,9 +419,7 @@ class Host:
         self.template, self.most = Shape("#", False), self.MOST
 
     def align(self, s: Shape) -> list[Shape]:
-        put: list[Shape] = []
-        _absorb(self.template, s, put, True)
-        return put
+        return aligned(self.template, s, True)
 
     @staticmethod
     def _count(t: Shape, pages: int, low: int, high: int, found: int, chars: int, common: dict[int, int]) -> None:
@@ -462,11 +589,9 @@ def extract(page: str, wrapper: Shape | None, known: dict[tuple[int, str], list[
     if wrapper is not None:
         key = id(wrapper), skeleton(s)
         if key not in known:
-            put: list[Shape | None] = []
-            _absorb(wrapper, s, put, False)
             if len(known) > 5000:
                 known.clear()
-            known[key] = put
+            known[key] = aligned(wrapper, s, False)
         pairs = [(t, x) for t, x in zip(known[key], s.preorder(), strict=True) if t is not None]
         slots = [(t, x) for t, x in pairs if t.flag == CONTENT]
         content = [n for _, x in slots for n in x.nodes]

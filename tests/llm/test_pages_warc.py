@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import itertools
 import random
 import time
 
@@ -69,6 +70,67 @@ def test_tree_matching():
     assert size == 3 and [(a.kids[i].label, b.kids[j].label) for i, j in pairs] == [("div", "div"), ("div.z", "div.z")]
 
 
+def plain_match(a, b):
+    """Simple tree matching by its definition, every combination in turn."""
+    w = [[1 + plain_match(x.kids, y.kids)[0] if x.label == y.label else 0 for y in b] for x in a]
+    m = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, j in itertools.product(range(len(a)), range(len(b))):
+        m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + w[i][j])
+    i, j, pairs = len(a), len(b), []
+    while i and j:
+        if w[i - 1][j - 1] and m[i][j] == m[i - 1][j - 1] + w[i - 1][j - 1]:
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+        elif m[i][j] == m[i - 1][j]:
+            i -= 1
+        else:
+            j -= 1
+    return m[-1][-1], pairs[::-1]
+
+
+def row(r, n, labels, depth):
+    out = [pages.Shape(r.choice(labels), False) for _ in range(r.randint(n // 2, n))]
+    for s in out:
+        s.kids = row(r, n // 2, labels, depth - 1) if depth and r.random() < 0.5 else []
+    return out
+
+
+def test_matching_equals_its_definition(monkeypatch):
+    r = random.Random(4)
+    for held, plain, known in ((1, 0, 2), (40, 5, 1 << 18), (1 << 22, 100, 1 << 18)):
+        monkeypatch.setattr(pages.Sizes, "PLAIN", plain)
+        monkeypatch.setattr(pages.Sizes, "KNOWN", known)
+        monkeypatch.setattr(pages.Table, "HELD", held)
+        monkeypatch.setattr(pages.Table, "KEPT", 3)
+        for n, labels, depth in [(4, "ab", 3), (10, "abc", 2), (30, "abcdefgh", 1), (60, "ab", 0)] * 60:
+            a = row(r, n, labels, depth)
+            b = row(r, n, labels, depth) if r.random() < 0.7 else [x for x in a if r.random() < 0.8] + row(r, 2, labels, 1)
+            assert pages.matched(a, b) == plain_match(a, b)
+
+
+def test_long_rows_are_matched_as_short_ones():
+    for n in (20, 255, 300, 3000):  # 256 trees a row had been the limit
+        d = [pages.Shape(f"d{i}", False) for i in range(n)]
+        z = pages.Shape("z", False)
+        assert pages.matched([*d, z], [z, *d]) == (n, [(i, i + 1) for i in range(n)])
+    a, b = (row(random.Random(i), 600, "abcde", 0) for i in (1, 2))
+    assert pages.matched(a, b) == plain_match(a, b)
+
+
+@pytest.mark.parametrize("n", [20, 400])
+def test_wide_pages_get_the_same_text_as_narrow_ones(spark, n):
+    names = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    tail = "<div class=z>Ours since ever</div>"
+    rows = []
+    for i in range(12):  # the host's line stands below the blocks, or above them on every third page
+        blocks = "".join(f"<div class=c{names(k)}>own {i} {k}</div><p class=c{names(k)}>The same {k}</p>" for k in range(n // 2))
+        rows.append((i, "http://wide.example/", f"<body>{tail + blocks if i % 3 == 2 else blocks + tail}</body>"))
+    got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
+    for i in range(12):
+        text = "\n\n".join(f"own {i} {k}" for k in range(n // 2))
+        assert got[i] == ("Ours since ever\n\n" if i % 3 == 2 else "") + text  # on a third of the pages it is not yet the host's
+
+
 def story(r, h, i):
     """A page without any telling tag or name, and its text: the host's own boxes are around and among its blocks."""
     word = lambda: "".join(r.choice("aeioulnrst") for _ in range(r.randint(2, 9)))
