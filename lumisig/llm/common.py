@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumisig.cluster import materialize, scratch_dir
 
-__all__ = ["SPACE", "WORD", "fits", "materialize", "scratch_dir", "sized_broadcast"]
+__all__ = ["SPACE", "WORD", "fits", "materialize", "scratch_dir", "shuffled", "sized_broadcast"]
 
 #: ASCII white space: what separates words everywhere in this subpackage.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -22,3 +22,8 @@ def fits(df: DataFrame, limit_rows: int) -> bool:
 def sized_broadcast(df: DataFrame, limit_rows: int = 200_000) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows are within the bound, else as it is."""
     return F.broadcast(df) if fits(df, limit_rows) else df
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df``, never broadcast by Spark's own estimate, which takes a table after an explode to be as small as before it."""
+    return df.hint("merge")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, shuffled
 
 
 def _state(e: DataFrame) -> tuple:
@@ -17,7 +17,7 @@ def _toward_minimum(pairs: DataFrame) -> DataFrame:
     """(u, v) joined with the smallest v of each u. The minima are written first, so that
     both sides of the join are plain exchanges and a hub's rows can be split among tasks."""
     lows = materialize(pairs.groupBy("u").agg(F.min("v").alias("low")))
-    return pairs.join(lows, "u")
+    return pairs.join(shuffled(lows), "u")
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits, materialize
+from .common import fits, materialize, shuffled
 from .components import connected_components
 
 SEED = 42
@@ -196,29 +196,29 @@ def links(reps: DataFrame, plan: Plan, crowded: int = 8, block: int = 2048) -> D
     any_crowd = not crowds.isEmpty()
     calm, mark = table, crowds
     if any_crowd:
-        mark = F.broadcast(crowds) if fits(crowds, 100_000) else crowds
+        mark = F.broadcast(crowds) if fits(crowds, 100_000) else shuffled(crowds)
         calm = table.join(mark, "key", "left_anti")
     near = (F.bit_count(F.col("c").bitwiseXOR(F.col("c2"))) <= plan.near) & (~F.col("same") | (F.col("rep2") > F.col("rep")))
-    found = calm.join(probes, "key").where(near).select(F.greatest("rep", "rep2").alias("src"), F.least("rep", "rep2").alias("dst")).distinct()
+    found = calm.join(shuffled(probes), "key").where(near).select(F.greatest("rep", "rep2").alias("src"), F.least("rep", "rep2").alias("dst")).distinct()
     verify = [F.col(f"v{j}") for j in range(k)]
     if k > 1:
         found = materialize(found)
         a = reps.select(F.col("rep").alias("src"), *verify)
         b = reps.select(F.col("rep").alias("dst"), *(F.col(f"v{j}").alias(f"u{j}") for j in range(k)))
         apart = sum((F.bit_count(F.col(f"v{j}").bitwiseXOR(F.col(f"u{j}"))) for j in range(k)), F.lit(0))
-        found = found.join(a, "src").join(b, "dst").where(apart <= plan.max_distance).select("src", "dst")
+        found = found.join(shuffled(a), "src").join(shuffled(b), "dst").where(apart <= plan.max_distance).select("src", "dst")
     if not any_crowd:
         return found
     full = reps.select("rep", *verify)
     t = table.join(mark, "key").select("key", "rep", F.ceil(F.col("count") / block).cast("int").alias("nt"))
     p = materialize(probes.join(mark, "key").select("key", F.col("rep2").alias("rep"), F.ceil(F.col("count") / block).cast("int").alias("nt")))
     np_ = p.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("np"))
-    np_ = F.broadcast(np_) if fits(crowds, 100_000) else np_
+    np_ = F.broadcast(np_) if fits(crowds, 100_000) else shuffled(np_)
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     left = t.join(np_, "key").select("key", "rep", F.lit(False).alias("probe"), dealt("nt").alias("tb"), span("np").alias("pb"))
     right = p.join(np_, "key").select("key", "rep", F.lit(True).alias("probe"), dealt("np").alias("pb"), span("nt").alias("tb"))
-    both = left.unionByName(right).join(full, "rep")
+    both = left.unionByName(right).join(shuffled(full), "rep")
     return found.unionAll(both.groupBy("key", "tb", "pb").applyInArrow(_forest(plan), "src long, dst long"))
 
 
@@ -238,8 +238,8 @@ def classes(docs: DataFrame, plan: Plan = STRICT, id_col: str = "doc_id", text_c
     names = list(dict.fromkeys(ws + vs))
     reps = materialize(fp.groupBy(*names).agg(F.min("id").alias("rep")))
     parts = connected_components(links(reps.where("rep IS NOT NULL"), plan))
-    named = materialize(reps.join(parts, reps["rep"] == parts["node"], "left").select(*names, F.coalesce("component", "rep").alias("component_id")))
-    return fp.join(named, names).select("id", *vs, "component_id")
+    named = materialize(reps.join(shuffled(parts), reps["rep"] == parts["node"], "left").select(*names, F.coalesce("component", "rep").alias("component_id")))
+    return fp.join(shuffled(named), names).select("id", *vs, "component_id")
 
 
 def hex_digits(word: str) -> Column:
@@ -305,10 +305,10 @@ def _alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
 def _verified(pairs: DataFrame, sets: DataFrame, least: float, salt: int = 512) -> DataFrame:
     """The rows of ``pairs`` (src, dst) whose sets are alike. A dst of many pairs is dealt over tasks."""
     hot = pairs.groupBy("dst").agg(F.ceil(F.count("*") / salt).cast("int").alias("m")).where("m > 1")
-    hot = F.broadcast(hot) if fits(hot, 100_000) else hot
+    hot = F.broadcast(hot) if fits(hot, 100_000) else shuffled(hot)
     left = pairs.join(hot, "dst", "left").select("src", "dst", F.pmod(F.xxhash64("src"), F.coalesce("m", F.lit(1))).cast("int").alias("z"))
     right = sets.withColumnRenamed("rep", "dst").join(hot, "dst", "left").select("dst", F.col("s").alias("sd"), F.explode(F.sequence(F.lit(0), F.coalesce("m", F.lit(1)) - 1)).alias("z"))
-    both = left.join(right, ["dst", "z"]).select("src", "dst", "sd").join(sets.withColumnRenamed("rep", "src"), "src").select("src", "dst", "s", "sd")
+    both = left.join(shuffled(right), ["dst", "z"]).select("src", "dst", "sd").join(shuffled(sets.withColumnRenamed("rep", "src")), "src").select("src", "dst", "s", "sd")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -339,7 +339,7 @@ def _joined(least: float):
 def _labelled(reps: DataFrame, links: DataFrame) -> DataFrame:
     """(rep, label): the smallest rep that links reach."""
     parts = connected_components(links)
-    return reps.join(parts, reps["rep"] == parts["node"], "left").select("rep", F.coalesce("component", "rep").alias("label"))
+    return reps.join(shuffled(parts), reps["rep"] == parts["node"], "left").select("rep", F.coalesce("component", "rep").alias("label"))
 
 
 def similar_links(reps: DataFrame, sets_of, plan: Bands, crowded: int = 64, block: int = 256) -> DataFrame:
@@ -352,32 +352,32 @@ def similar_links(reps: DataFrame, sets_of, plan: Bands, crowded: int = 64, bloc
     rows = reps.select("rep", F.explode("keys").alias("key"))
     odd = F.xxhash64("rep")
     ends = rows.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.min_by("rep", odd).alias("c"), F.count("*").alias("n")).where("a < b")
-    shared = materialize(rows.join(ends, "key"))
+    shared = materialize(rows.join(shuffled(ends), "key"))
     if shared.isEmpty():
         return shared.select(F.col("rep").alias("src"), F.col("a").alias("dst"))
     members = materialize(shared.select("rep").distinct())
     sets = materialize(sets_of(members))
     stars = materialize(shared.select(F.col("rep").alias("src"), F.explode(F.array("a", "b", "c")).alias("dst")).where("src <> dst").distinct())
     first = materialize(_verified(stars, sets, plan.least))
-    named = shared.select("key", "rep").join(_labelled(members, first), "rep")
+    named = shared.select("key", "rep").join(shuffled(_labelled(members, first)), "rep")
     mixed = named.groupBy("key").agg(F.min("label").alias("la"), F.max("label").alias("lb"), F.count("*").alias("n")).where("la < lb").select("key", "n")
-    left = materialize(named.join(mixed, "key"))
+    left = materialize(named.join(shuffled(mixed), "key"))
     calm = left.where(F.col("n") <= crowded)
     other = calm.select("key", F.col("rep").alias("dst"), F.col("label").alias("label2"))
-    pairs = calm.join(other, "key").where("dst < rep AND label <> label2").select(F.col("rep").alias("src"), "dst").distinct()
-    out = first.unionByName(_verified(materialize(pairs.join(stars, ["src", "dst"], "left_anti")), sets, plan.least))
+    pairs = calm.join(shuffled(other), "key").where("dst < rep AND label <> label2").select(F.col("rep").alias("src"), "dst").distinct()
+    out = first.unionByName(_verified(materialize(pairs.join(shuffled(stars), ["src", "dst"], "left_anti")), sets, plan.least))
     full = left.where(F.col("n") > crowded)
     if full.isEmpty():
         return out
     # all pairs of two groups have a member that is not of the band's largest group
     size = full.groupBy("key", "label").count()
     top = materialize(size.groupBy("key").agg(F.max_by("label", "count").alias("top"), F.ceil(F.sum("count") / block).cast("int").alias("nt"), F.ceil((F.sum("count") - F.max("count")) / block).cast("int").alias("np")))
-    full = full.join(F.broadcast(top) if fits(top, 100_000) else top, "key")
+    full = full.join(F.broadcast(top) if fits(top, 100_000) else shuffled(top), "key")
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     table = full.select("key", "rep", "label", F.lit(False).alias("probe"), dealt("nt").alias("tb"), span("np").alias("pb"))
     probes = full.where("label <> top").select("key", "rep", "label", F.lit(True).alias("probe"), dealt("np").alias("pb"), span("nt").alias("tb"))
-    both = table.unionByName(probes).join(sets, "rep")
+    both = table.unionByName(probes).join(shuffled(sets), "rep")
     return out.unionByName(both.groupBy("key", "tb", "pb").applyInArrow(_joined(plan.least), "src long, dst long"))
 
 
@@ -392,8 +392,8 @@ def similar_classes(docs: DataFrame, plan: Bands = SIMILAR, id_col: str = "doc_i
 
     known = reps.where("rep IS NOT NULL")
     parts = connected_components(similar_links(known.select("rep", "keys"), sets_of, plan))
-    named = reps.join(parts, reps["rep"] == parts["node"], "left").select("s0", "s1", F.coalesce("component", "rep").alias("component_id"))
-    return fp.select("id", "s0", "s1").join(materialize(named), ["s0", "s1"]).select("id", "component_id")
+    named = reps.join(shuffled(parts), reps["rep"] == parts["node"], "left").select("s0", "s1", F.coalesce("component", "rep").alias("component_id"))
+    return fp.select("id", "s0", "s1").join(shuffled(materialize(named)), ["s0", "s1"]).select("id", "component_id")
 
 
 def deduplicate(docs: DataFrame, plan: Plan | Bands = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -164,3 +164,9 @@ def test_crowded_bands_lose_none(spark):
         got = {tuple(x) for x in simhash.similar_links(reps, lambda wanted: simhash._shingled(docs, 5, "doc_id", "text"), plan, crowded, block).collect()}
         assert smallest(ids, got) == smallest(ids, near)
         assert all(jaccard(texts[a], texts[b]) >= 0.8 for a, b in got)
+
+
+def test_exploded_tables_are_not_broadcast_by_their_size_before(spark):
+    rows = [(i, x, x) for i, x in enumerate(np.random.default_rng(12).integers(-(2**63), 2**63, 2000).tolist())]
+    reps = simhash.materialize(spark.createDataFrame(rows, "rep long, w0 long, v0 long"))
+    assert "BroadcastHashJoin" not in simhash.links(reps, simhash.STRICT)._jdf.queryExecution().executedPlan().toString()
